@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import bpe, copies, leaks, top
+from lapidary.llm import bpe, copies, cuts, leaks, pairs, top
 from lapidary.sources.tables import table
 
 
@@ -29,7 +29,19 @@ def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return bpe.encoded(table(spark, base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p5_found, p8_ids)}
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return cuts.cut_values(cuts.values_of(table(spark, base, "puzzles"), table(spark, base, "call_traces")))
+
+
+def p6_rates(spark: SparkSession, base: str) -> DataFrame:
+    return cuts.cut_rates(table(spark, base, "puzzles"), table(spark, base, "call_traces"))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return pairs.defects(table(spark, base, "puzzles"), table(spark, base, "call_traces"), table(spark, base, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p5_found, p6_found, p6_rates, p7_found, p8_ids)}
 
 ORACLE = {
     "p2_collapsed": """

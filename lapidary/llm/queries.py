@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import bpe, copies, cuts, leaks, pairs, top
+from lapidary.llm import bpe, copies, cuts, leaks, near, pairs, sentences, top
 from lapidary.sources.tables import table
 
 
@@ -21,6 +21,18 @@ def p2_collapsed(spark: SparkSession, base: str) -> DataFrame:
     return copies.collapsed(table(spark, base, "puzzles"), "id", "question")
 
 
+def _whole_text():
+    return F.concat_ws(" ", "question", F.coalesce("answer", F.lit("")))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return near.near_pairs(table(spark, base, "puzzles"), "id", _whole_text())
+
+
+def p4_groups(spark: SparkSession, base: str) -> DataFrame:
+    return near.near_groups(table(spark, base, "puzzles"), "id", _whole_text())
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return top.best_puzzles(table(spark, base, "puzzles")).select("rule_id", "created_day", "id")
 
@@ -41,7 +53,11 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.defects(table(spark, base, "puzzles"), table(spark, base, "call_traces"), table(spark, base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p5_found, p6_found, p6_rates, p7_found, p8_ids)}
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return sentences.split_documents(table(spark, base, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p4_found, p4_groups, p5_found, p6_found, p6_rates, p7_found, p8_ids, p10_found)}
 
 ORACLE = {
     "p2_collapsed": """

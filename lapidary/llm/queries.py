@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import bpe, copies, cuts, leaks, near, pairs, sentences, top
+from lapidary.llm import bpe, copies, cuts, history, leaks, near, packing, pairs, sentences, top
 from lapidary.sources.tables import table
 
 
@@ -21,6 +21,10 @@ def p2_collapsed(spark: SparkSession, base: str) -> DataFrame:
     return copies.collapsed(table(spark, base, "puzzles"), "id", "question")
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return history.rejected_records(table(spark, base, "batch_records"), [table(spark, base, "puzzles"), table(spark, base, "final_records")])
+
+
 def _whole_text():
     return F.concat_ws(" ", "question", F.coalesce("answer", F.lit("")))
 
@@ -53,11 +57,15 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.defects(table(spark, base, "puzzles"), table(spark, base, "call_traces"), table(spark, base, "documents"))
 
 
+def p9_windows(spark: SparkSession, base: str) -> DataFrame:
+    return packing.packed(table(spark, base, "documents"))
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences.split_documents(table(spark, base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p4_found, p4_groups, p5_found, p6_found, p6_rates, p7_found, p8_ids, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_rates, p7_found, p8_ids, p9_windows, p10_found)}
 
 ORACLE = {
     "p2_collapsed": """

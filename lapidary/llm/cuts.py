@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapidary.session import durable
+
 #: Words for nothing, as letters and digits in lower case.
 NOTHING = {"na", "none", "null", "nil", "nan", "无", "没有", "空"}
 #: Sentence marks, closing marks, and what is put after a break.
@@ -222,8 +224,9 @@ KNOWN, FREQUENT, SELDOM, ENDS = 2, 30, 0.02, 3
 
 
 def corpus_statistics(values: DataFrame) -> DataFrame:
-    """(key, n, ends) over all values; ``values`` has the column text."""
-    return values.select("text").mapInArrow(_statistics, "key string, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    """(key, n, ends) over all values; ``values`` has the column text. It is read several times, so it is written once."""
+    counts = values.select("text").mapInArrow(_statistics, "key string, n bigint, ends bigint")
+    return durable(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
 
 
 def suspicious_ends(ends: DataFrame, stats: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ def values_of(puzzles: DataFrame, call_traces: DataFrame) -> DataFrame:
 
 def cut_values(values: DataFrame) -> DataFrame:
     """(tab, rec_key) of the values whose end is missing; ``values`` has tab, rec_key, text."""
-    judged = values.mapInArrow(_judged, "tab string, rec_key string, state int, k1 string, k2 string")
+    judged = durable(values.mapInArrow(_judged, "tab string, rec_key string, state int, k1 string, k2 string").where(F.col("state") != WHOLE))
     ends = judged.where(F.col("state") == ENDED)
     broken = ends.join(suspicious_ends(ends, corpus_statistics(values)), ["k1", "k2"], "left_semi")
     return judged.where(F.col("state") == CUT).select("tab", "rec_key").union(broken.select("tab", "rec_key")).distinct()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.llm import cuts
+from lapidary.session import durable
 from lapidary.llm.words import words
 
 #: The model is fitted on at most so many labelled documents, chosen by a hash of their id.
@@ -193,6 +194,7 @@ def defects(puzzles: DataFrame, call_traces: DataFrame, documents: DataFrame) ->
         call_traces.select(F.lit("call_traces").alias("tab"), F.col("trace_id").alias("rec_key"), F.col("prompt_user").alias("question"), F.col("response_raw").alias("text"))
     )
     judged = pairs.mapInArrow(_defects(shared, shared._jbroadcast.id()), "tab string, rec_key string, state int, k1 string, k2 string, rest string")
+    judged = durable(judged.where((F.col("state") != cuts.WHOLE) | F.col("rest").isNotNull()))
     ends = judged.where(F.col("state") == cuts.ENDED)
     broken = cuts.suspicious_ends(ends, cuts.corpus_statistics(pairs)).withColumn("broken", F.lit(True))
     cut = (F.col("state") == cuts.CUT) | F.col("broken")

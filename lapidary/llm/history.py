@@ -135,17 +135,22 @@ class HistoryIndex:
     def __init__(self, segment: int = SEGMENT):
         self.segment, self.index, self.shards = segment, None, {}
 
-    def add(self, records: DataFrame, name: str) -> None:
-        """Index ``records`` as one shard, or as several of at most about a segment."""
-        n = records.count()
-        if not n:
+    def add(self, records: DataFrame, name: str, by: str | None = None) -> None:
+        """Index ``records`` as one shard, or one for each value of ``by``; more than a segment becomes several shards.
+
+        All graphs are built in one job, side by side.
+        """
+        value = F.coalesce(F.col(by).cast("string"), F.lit("none")) if by else F.lit("all")
+        sizes = {r.value: r["count"] for r in records.groupBy(value.alias("value")).count().collect()}
+        if not sizes:
             return
-        parts = -(-n // self.segment)
-        shard = F.concat(F.lit(f"{name}/"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("string"))
-        rows = with_vectors(records.select("node", "shingles", "s1", "s2")).withColumn("shard", shard)
+        parts = {v: -(-n // self.segment) for v, n in sizes.items()}
+        many = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[value]
+        shard = F.concat(F.lit(f"{name}-"), value, F.lit("/"), F.pmod(F.xxhash64("node"), many).cast("string"))
+        rows = with_vectors(records.withColumn("shard", shard).select("shard", "node", "shingles", "s1", "s2"))
         new = durable(rows.groupBy("shard").applyInPandas(_build, INDEX))
         self.index = new if self.index is None else self.index.union(new)
-        self.shards |= {f"{name}/{p}": n / parts for p in range(parts)}
+        self.shards |= {f"{name}-{v}/{p}": sizes[v] / k for v, k in parts.items() for p in range(k)}
         if sum(k < self.segment / 2 for k in self.shards.values()) > COMPACT_AFTER:
             self.compact()
 
@@ -234,16 +239,13 @@ def rejected_records(batches: DataFrame, history: list[DataFrame], threshold: fl
 
     # One shard per batch; a record is searched in the shards of its own batch and of earlier ones.
     own_index = HistoryIndex(segment)
-    numbers = sorted(r.batch_no for r in remaining.select("batch_no").distinct().collect() if r.batch_no is not None)
-    for b in numbers:
-        own_index.add(remaining.where(F.col("batch_no") == b), f"batch-{b}")
+    own_index.add(remaining, "batch", "batch_no")
     kept = remaining.select("node")
     if own_index.index is not None:
-        least = {f"batch-{b}": b for b in numbers}
 
         def upto(shard: str):
-            b = least.get(shard.split("/")[0])
-            return F.lit(True) if b is None else F.col("batch_no") >= b
+            b = shard.split("/")[0].removeprefix("batch-")
+            return F.col("batch_no") >= int(b) if b.lstrip("-").isdigit() else F.lit(True)
 
         order = remaining.select("node", F.struct("batch_no", "rec_id").alias("at"))
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,10 +83,16 @@ class PerfectHash:
         return self.ids[a] if self.keys[a] == key else -1
 
 
+#: The pattern for ASCII texts, where the classes are spelt out; the control characters that one engine takes for blanks go the other way.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
+_CONTROL = re.compile("[\x1c-\x1f]").search
+
+
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        self.table = PerfectHash(ranks)
-        self.split = regex.compile(pattern).findall
+    def __init__(self, table: PerfectHash, pattern: str = PATTERN):
+        self.table = table
+        self.pattern = regex.compile(pattern).findall
+        self.ascii = _ASCII if pattern == PATTERN else self.pattern
         self.kept: dict[str, tuple[int, ...]] = {}
         self.single = [self.table.get(bytes([i])) for i in range(256)]
 
@@ -119,30 +127,35 @@ class Encoder:
         return tuple(x for x in ids if x >= 0)
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+        if not text:
+            return []
+        pieces = (self.ascii if text.isascii() and not _CONTROL(text) else self.pattern)(text)
         kept = self.kept
-        for piece in self.split(text) if text else ():
-            ids = kept.get(piece)
-            if ids is None:
-                raw = piece.encode("utf-8", "replace")
-                whole = self.table.get(raw)
-                ids = (whole,) if whole >= 0 else self.merge(raw)
-                if len(piece) <= _LONGEST_KEPT:
-                    if len(kept) >= _KEPT:
-                        kept.clear()
-                    kept[piece] = ids
-            out += ids
-        return out
+        try:
+            return [*chain.from_iterable([kept[p] for p in pieces])]
+        except KeyError:
+            return [*chain.from_iterable([kept.get(p) or self.resolve(p) for p in pieces])]
+
+    def resolve(self, piece: str) -> tuple[int, ...]:
+        """Ids of one pre-token, kept unless it is very long."""
+        raw = piece.encode("utf-8", "replace")
+        whole = self.table.get(raw)
+        ids = (whole,) if whole >= 0 else self.merge(raw)
+        if len(piece) <= _LONGEST_KEPT:
+            if len(self.kept) >= _KEPT:
+                self.kept.clear()
+            self.kept[piece] = ids
+        return ids
 
 
 _ENCODERS: dict[int, Encoder] = {}
 
 
 class Shared:
-    """The vocabulary, read once on the driver (its size is that of the vocabulary file) and sent to all workers."""
+    """The table of the vocabulary, made once on the driver (its size is that of the vocabulary file) and sent to all workers."""
 
     def __init__(self, spark, folder: str = TOKENIZERS, name: str = VOCABULARY):
-        self.broadcast = spark.sparkContext.broadcast(read_ranks(folder, name))
+        self.broadcast = spark.sparkContext.broadcast(PerfectHash(read_ranks(folder, name)))
         self.id = self.broadcast._jbroadcast.id()
 
     def encoder(self) -> Encoder:

@@ -120,9 +120,9 @@ def training_report(traces: DataFrame, high: float = 0.30, medium: float = 0.10)
     heads = reasons(traces.withColumn("_errors", errors), "_errors", "trace_id", ["rule_id"])
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "reason")))
     # A rule has as many rows here as there are error heads.
-    tops = heads.groupBy("rule_id").agg(F.array_join(F.transform(F.slice(order, 1, 3), lambda x: F.concat(x["reason"], F.lit("="), (-x["n"]).cast("string"))), ",").alias("top_errors"))
+    tops = heads.groupBy(F.col("rule_id").alias("_rule")).agg(F.array_join(F.transform(F.slice(order, 1, 3), lambda x: F.concat(x["reason"], F.lit("="), (-x["n"]).cast("string"))), ",").alias("top_errors"))
     share = F.col("failures") / F.col("calls")
-    out = calls.join(tops, calls.rule_id.eqNullSafe(tops.rule_id), "left").drop(tops.rule_id)
+    out = calls.join(tops, F.col("rule_id").eqNullSafe(F.col("_rule")), "left")
     return out.select(
         "rule_id", "calls", F.round(share, 6).alias("failure_rate"), F.coalesce("top_errors", F.lit("")).alias("top_errors"),
         F.when(share > high, "HIGH").when(share > medium, "MEDIUM").otherwise("LOW").alias("priority"),

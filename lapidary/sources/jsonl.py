@@ -27,7 +27,10 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """A JSON report of one document, with or without a byte-order mark."""
-    return spark.read.option("multiLine", True).option("encoding", "UTF-8").json(path)
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
+    # One document, so its text may go to the driver to learn its schema.
+    document = F.lit(whole.first().value)
+    return whole.select(F.from_json("value", F.schema_of_json(document)).alias("r")).select("r.*")
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> bool:

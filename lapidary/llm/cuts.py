@@ -238,7 +238,7 @@ def suspicious_ends(ends: DataFrame, stats: DataFrame) -> DataFrame:
         .select("k1", "k2", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n1", "e1", "n2", "e2")])
     )
     # The trie: every proper prefix of a known word, of one letter or more.
-    known = stats.where((F.col("n") - F.col("ends") >= KNOWN) & ~F.col("key").contains("|") & (F.length("key") > 1) & ~F.col("key").rlike("^[0-9]"))
+    known = stats.where((F.col("n") >= KNOWN) & ~F.col("key").contains("|") & (F.length("key") > 1) & ~F.col("key").rlike("^[0-9]"))
     nodes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("k1")).distinct()
     unknown = joined.where((F.col("n1") - F.col("e1") < KNOWN) & (F.col("e1") < ENDS) & ~F.col("k1").rlike("[0-9]")).join(nodes, "k1", "left_semi").select("k1", "k2")
     seldom = lambda n, e: (F.col(n) >= FREQUENT) & (F.col(e) <= SELDOM * F.col(n))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-FORWARD, REVERSE, ENTRIES = 12, 28, 24
-BUILD_BEAM, BATCH = 40, 2048
-TARGET_RECALL, SAMPLE, TOP = 0.96, 200, 5
+FORWARD, REVERSE, EXTRA, ENTRIES = 12, 26, 6, 24
+WIDTH = FORWARD + REVERSE + EXTRA
+BUILD_BEAM, BATCH = 32, 2048
+#: A beam is wide enough when it finds this share of the nodes that an exhaustive search finds for sample queries.
+TARGET_RECALL, SAMPLE = 0.97, 1000
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -17,16 +19,18 @@ def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 
 
 class Graph:
-    """Nodes link to the nearest that were inserted before them (forward), and to near later ones (reverse)."""
+    """Nodes link to the nearest that were inserted before them (forward), to near later ones (reverse), and to later ones
+    that nothing else leads to (extra)."""
 
     def __init__(self, vectors: np.ndarray, links: np.ndarray | None = None):
         self.vectors = np.ascontiguousarray(vectors, np.float32)
         n = len(vectors)
         if links is None:
-            self.links = np.full((n, FORWARD + REVERSE), -1, np.int32)
+            self.links = np.full((n, WIDTH), -1, np.int32)
             self._build()
+            self._connect()
         else:
-            self.links = links.reshape(n, FORWARD + REVERSE)
+            self.links = links.reshape(n, WIDTH)
 
     def _entries(self, n: int) -> np.ndarray:
         return np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int32))
@@ -34,7 +38,7 @@ class Graph:
     def _build(self) -> None:
         n, v = len(self.vectors), self.vectors
         done = 0
-        reverse_sims = np.full((n, REVERSE), -2, np.float32)
+        reverse_sims = np.full((n, REVERSE), -4, np.float32)
         while done < n:
             stop = min(n, done + (512 if done < 2048 else min(BATCH, done // 4)))
             own = v[done:stop]
@@ -50,13 +54,15 @@ class Graph:
             near, near_sims = _top(near, near_sims, FORWARD)
             near = np.where(near_sims > -2, near, -1)
             self.links[done:stop, : near.shape[1]] = near
-            # Reverse links: the closest of the old and the new ones stay.
+            # Reverse links: the best of the old and the new ones stay.
             source = np.repeat(np.arange(done, stop, dtype=np.int32), near.shape[1])
-            target, sim = near.ravel(), near_sims.ravel()
+            # The link from a node's nearest neighbour comes before all that are merely close, so that every node can be reached.
+            nearest = near_sims >= near_sims.max(axis=1, keepdims=True)
+            target, sim = near.ravel(), (near_sims + 2 * nearest).ravel()
             real = target >= 0
             source, target, sim = source[real], target[real], sim[real]
             touched = np.unique(target)
-            old = self.links[touched, FORWARD:]
+            old = self.links[touched, FORWARD : FORWARD + REVERSE]
             held = old >= 0
             target = np.concatenate([np.repeat(touched, REVERSE)[held.ravel()], target])
             source = np.concatenate([old[held], source])
@@ -66,11 +72,42 @@ class Graph:
             first = np.r_[True, target[1:] != target[:-1]]
             place = np.arange(len(target)) - np.flatnonzero(first)[np.cumsum(first) - 1]
             keep = place < REVERSE
-            self.links[touched, FORWARD:] = -1
+            self.links[touched, FORWARD : FORWARD + REVERSE] = -1
             self.links[target[keep], FORWARD + place[keep]] = source[keep]
             reverse_sims[target[keep], place[keep]] = sim[keep]
             done = stop
 
+    def _reached(self) -> np.ndarray:
+        """Which nodes a walk from the entries can reach."""
+        reached = np.zeros(len(self.vectors), bool)
+        edge = self._entries(len(self.vectors))
+        while len(edge):
+            reached[edge] = True
+            edge = np.unique(self.links[edge])
+            edge = edge[edge >= 0]
+            edge = edge[~reached[edge]]
+        return reached
+
+    def _connect(self) -> None:
+        """Give nodes that can't be reached an extra link from one of their forward neighbours."""
+        for _ in range(20):
+            reached = self._reached()
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                return
+            for k in range(FORWARD):
+                at = self.links[lost, k]
+                ok = (at >= 0) & reached[np.maximum(at, 0)]
+                target, source = at[ok], lost[ok]
+                order = np.argsort(target, kind="stable")
+                target, source = target[order], source[order]
+                used = (self.links[target, FORWARD + REVERSE :] >= 0).sum(axis=1)
+                first = np.r_[True, target[1:] != target[:-1]][: len(target)]
+                place = used + np.arange(len(target)) - (np.flatnonzero(first)[np.cumsum(first) - 1] if len(target) else 0)
+                fits = place < EXTRA
+                self.links[target[fits], FORWARD + REVERSE + place[fits]] = source[fits]
+                lost = np.setdiff1d(lost, source[fits])
+
     def search(self, queries: np.ndarray, beam: int, among: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of the beam of every query, -1 where the beam isn't full; ``among`` the first nodes."""
         n = len(self.vectors) if among is None else among
@@ -90,6 +127,7 @@ class Graph:
         seen = np.zeros((m, n + 1), bool)
         seen[:, n] = True
         seen[:, entries] = True
+        marks = seen.reshape(-1)
         ids = np.tile(entries, (m, 1))
         sims = q @ v[entries].T
         ids, sims = _top(ids, sims, beam)
@@ -113,13 +151,13 @@ class Graph:
                     break
             np.put_along_axis(opened, pick, True, 1)
             chosen = np.where(fresh, np.take_along_axis(ids, pick, 1), -1)
-            near = links[chosen].reshape(len(active), -1)
+            near = np.take(links, chosen, axis=0, mode="wrap").reshape(len(active), -1)
             near = np.where(np.repeat(chosen < 0, links.shape[1], axis=1) | (near < 0) | (near >= n), n, near)
-            rows = np.repeat(active, near.shape[1]).reshape(near.shape)
-            new = ~seen[rows, near]
-            seen[rows, near] = True
+            flat = near + active[:, None] * (n + 1)
+            new = ~np.take(marks, flat)
+            marks[flat] = True
             # One of two equal nodes within a row is enough; the second gets no place.
-            near_sims = np.where(new, np.einsum("ijk,ik->ij", v[np.minimum(near, n - 1)], q[active]), -2).astype(np.float32)
+            near_sims = np.where(new, np.einsum("ijk,ik->ij", np.take(v, near, axis=0, mode="clip"), q[active]), np.float32(-2))
             order = np.argsort(near, axis=1, kind="stable")
             ordered = np.take_along_axis(near, order, 1)
             twice = np.zeros(near.shape, bool)
@@ -132,23 +170,19 @@ class Graph:
             ids, sims, opened = (np.take_along_axis(x, at, 1) for x in (ids, sims2, opened))
         return np.where(full_sims > -2, full_ids, -1), full_sims
 
-    def exhaustive(self, queries: np.ndarray, k: int) -> np.ndarray:
-        sims = np.ascontiguousarray(queries, np.float32) @ self.vectors.T
-        k = min(k, sims.shape[1])
-        return np.argpartition(-sims, k - 1, axis=1)[:, :k]
-
-    def tuned_beam(self, queries: np.ndarray, start: int = 48) -> int:
-        """The narrowest beam, doubled from ``start``, that finds the nearest nodes of sample queries as an exhaustive search does."""
+    def tuned_beam(self, queries: np.ndarray, true: list[np.ndarray], start: int = 48, widest: int = 1024) -> int | None:
+        """The narrowest beam, widened by halves from ``start``, that finds TARGET_RECALL of the nodes ``true`` that an
+        exhaustive search found for the sample ``queries``; None if even the widest one doesn't."""
         n = len(self.vectors)
-        if not len(queries) or n <= start:
-            return max(1, min(start, n))
-        sample = queries[:: max(1, len(queries) // SAMPLE)][:SAMPLE]
-        true = self.exhaustive(sample, TOP)
-        beam = start
-        while beam < n:
-            ids, _ = self.search(sample, beam)
-            hit = (true[:, :, None] == ids[:, None, :]).any(axis=2).mean()
-            if hit >= TARGET_RECALL:
+        # A crowd of near nodes beyond a beam's width is no sign of a bad beam.
+        true = [t[: start // 2] for t in true]
+        total, beam = sum(map(len, true)), start
+        while total and beam < n:
+            ids, _ = self.search(queries, beam)
+            hit = sum(np.isin(t, found).sum() for t, found in zip(true, ids))
+            if hit >= TARGET_RECALL * total:
                 break
-            beam *= 2
-        return min(beam, n)
+            beam += beam // 2
+            if beam > widest:
+                return None
+        return max(1, min(beam, n))

@@ -71,3 +71,22 @@ def accept_batches(stream: DataFrame, path: str, key: str, checkpoint: str):
         once.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def total_rates(log: DataFrame) -> DataFrame:
+    """(rule_id, total, passed) over everything that has arrived, each id once."""
+    once = log.dropDuplicates(["id"])
+    return once.groupBy("rule_id").agg(F.count("*").alias("total"), F.count_if(F.coalesce("passed", F.lit(False))).alias("passed"))
+
+
+def run_to_table(aggregated: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream of aggregates over what is there and return the table of its last state, which every batch replaces."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state={number % 2}")
+        batch.sparkSession.createDataFrame([(number % 2,)], "state int").coalesce(1).write.mode("overwrite").parquet(f"{path}-last")
+
+    q = aggregated.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark = aggregated.sparkSession
+    return spark.read.parquet(f"{path}/state={spark.read.parquet(f'{path}-last').first().state}")

@@ -64,10 +64,14 @@ def _compared(rows: DataFrame, bits: int) -> DataFrame:
     return joined.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
 
-def similar_classes(reps: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(a, b) with a < b of all representatives whose sets are similar. ``reps`` has rep and the sketch columns."""
+def similar_classes(reps: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(a, b) with a < b of all representatives whose sets are similar.
+
+    ``reps`` has rep, coordinates, s1, s2, once each; ``sets`` has rep and shingles, at least once. No two steps lead to
+    the same path, so a set has no path twice.
+    """
     runs, bits = runs_for(threshold, recall), sketches.most_differing(threshold)
-    level = reps.select("rep", "s1", "s2", F.explode(_paths(True, runs)).alias("path")).distinct()
+    level = reps.select("rep", "s1", "s2", F.explode(_paths(True, runs)).alias("path"))
     found = None
     for depth in range(1, DEPTH + 1):
         n = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
@@ -79,11 +83,10 @@ def similar_classes(reps: DataFrame, threshold: float = THRESHOLD, recall: float
         if last or big.isEmpty():
             break
         on = big.select("path", "rep", "s1", "s2").join(reps.select("rep", "coordinates"), "rep")
-        level = on.select("rep", "s1", "s2", F.explode(_paths(False, runs)).alias("path")).distinct()
+        level = on.select("rep", "s1", "s2", F.explode(_paths(False, runs)).alias("path"))
     pairs = found.distinct()
-    sets = reps.select("rep", "shingles")
     exact = pairs.join(sets.withColumnsRenamed({"rep": "a", "shingles": "sa"}), "a").join(sets.withColumnsRenamed({"rep": "b", "shingles": "sb"}), "b")
-    return exact.where(sketches.similarity("sa", "sb") >= threshold).select("a", "b")
+    return exact.where(sketches.similarity("sa", "sb") >= threshold).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -91,8 +94,9 @@ def near_duplicates(df: DataFrame, key: str, text, threshold: float = THRESHOLD,
     rows = durable(sketches.sketched(df.select(F.col(key).cast("string").alias("id"), text.alias("text")), ["id"], F.col("text")))
     first = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     members = durable(rows.select("id", "h1", "h2").join(first, ["h1", "h2"]).select("id", "rep").distinct())
-    reps = rows.join(first.select("rep"), rows.id == first.rep, "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
-    return members, similar_classes(durable(reps), threshold, recall)
+    slim = rows.select(F.col("id").alias("rep"), "coordinates", "s1", "s2").join(first.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    sets = rows.select(F.col("id").alias("rep"), "shingles")
+    return members, similar_classes(durable(slim), sets, threshold, recall)
 
 
 def near_pairs(df: DataFrame, key: str, text, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -34,7 +34,7 @@ from lapidary.session import durable
 THRESHOLD = 0.6
 DIMENSIONS = 32
 #: Nodes of a history segment, queries that one task searches, and shards below half a segment after which they are compacted.
-SEGMENT, QUERIES, COMPACT_AFTER = 100_000, 20_000, 16
+SEGMENT, QUERIES, COMPACT_AFTER = 100_000, 50_000, 16
 
 INDEX = "shard string, ids array<string>, vectors binary, bits binary, links binary"
 

@@ -3,13 +3,14 @@
 The history is indexed in segments of bounded size, each with one graph over random projections of shingle sets; the
 index is built once and kept, so a new batch is searched against it and added as a shard of its own, without reading
 the history anew. When there are many small shards they are compacted. The beam of a search is widened on each shard
-until it finds what an exhaustive search finds for sample queries. Candidates pass a filter on sketches and are
+until it finds what an exhaustive search finds for sample queries. A query whose beam is crowded with candidates up to
+its worst places is compared with the sketches of the whole shard. Candidates pass a filter on sketches and are
 reranked by the exact similarity of their sets.
 
 A record is rejected if its set, or one similar to it, stands in the history or in an earlier record that was kept.
 Only the first record of a set can be kept. The rest is decided over the links between the remaining records: a record
 without an earlier similar one is kept, those similar to a kept one are rejected, and so on until all are decided.
-The records kept with links are then searched against each other once more, so a link that a crowded beam missed
+The records kept with links are then searched against each other once more, so a link that a beam missed
 still counts.
 
 Null questions and those with fewer than three words are similar to nothing and never rejected. Repeated deliveries
@@ -106,30 +107,29 @@ def _search(most: int):
         sample = np.arange(0, len(q), max(1, len(q) // SAMPLE))[:SAMPLE]
         # What an exhaustive search finds: sketches and vectors both near, so that chance hits of either stay out.
         true = [np.flatnonzero((np.bitwise_count(bits ^ own[i][None, :]).sum(axis=1, dtype=np.int32) <= most) & (vectors @ q[i] >= NEAR)) for i in sample]
-        todo, beam = np.arange(len(q)), graph.tuned_beam(q[sample], true, widest=WIDEST)
-        if beam is None:
-            # The graph can't be searched well enough: all nodes are compared by their sketches.
-            for i in range(len(q)):
-                hit = np.flatnonzero(np.bitwise_count(bits ^ own[i][None, :]).sum(axis=1, dtype=np.int32) <= most)
-                out_q += [names[i]] * len(hit)
-                out_n += [nodes[x] for x in hit]
-            todo = todo[:0]
-        while len(todo):
-            ids, _ = graph.search(q[todo], beam)
-            crowded = np.zeros(len(todo), bool)
-            for at in range(0, len(todo), 4096):
+        beam = graph.tuned_beam(q[sample], true, widest=WIDEST)
+        # If the graph can't be searched well enough, all nodes are compared by their sketches.
+        crowded = np.full(len(q), beam is None)
+        if beam is not None:
+            ids, sims = graph.search(q, beam)
+            for at in range(0, len(q), 4096):
                 part = ids[at : at + 4096]
-                differ = np.bitwise_count(bits[np.maximum(part, 0)] ^ own[todo[at : at + 4096]][:, None, :]).sum(axis=2, dtype=np.int32)
+                differ = np.bitwise_count(bits[np.maximum(part, 0)] ^ own[at : at + 4096][:, None, :]).sum(axis=2, dtype=np.int32)
                 hit = (differ <= most) & (part >= 0)
-                # A beam full of candidates may hide more of them: it is widened.
-                crowded[at : at + 4096] = hit.all(axis=1)
-                hit &= ~crowded[at : at + 4096, None] | (beam >= len(nodes) or beam >= WIDEST)
+                if part.shape[1] < len(nodes):
+                    # A beam with candidates among its worst places may hide more of them, however many: its query is compared with all nodes.
+                    k = max(1, part.shape[1] // WORST)
+                    worst = np.argpartition(sims[at : at + 4096], k - 1, axis=1)[:, :k]
+                    crowded[at : at + 4096] = np.take_along_axis(hit, worst, 1).any(axis=1)
+                    hit &= ~crowded[at : at + 4096, None]
                 i, k = np.nonzero(hit)
-                out_q += list(names[todo[at + i]])
+                out_q += list(names[at + i])
                 out_n += [nodes[x] for x in part[i, k]]
-            if beam >= len(nodes) or beam >= WIDEST:
-                break
-            todo, beam = todo[crowded], beam * 4
+        columns = np.ascontiguousarray(bits.T)
+        for i in np.flatnonzero(crowded):
+            hit = np.flatnonzero(np.bitwise_count(columns[0] ^ own[i, 0]) + np.bitwise_count(columns[1] ^ own[i, 1]) <= most)
+            out_q += [names[i]] * len(hit)
+            out_n += [nodes[x] for x in hit]
         return pd.DataFrame({"query": out_q, "node": out_n}) if out_q else empty
 
     return run
@@ -137,8 +137,8 @@ def _search(most: int):
 
 #: Cosine that the vectors of similar sets have, but for about one in a hundred at similarity 0.6.
 NEAR = 0.55
-#: Beams are widened to so many nodes; what a crowd beyond hides is found by searching the kept records again.
-WIDEST = 1024
+#: Beams are widened to so many nodes for the sample, and are crowded if one of the worst of so many parts of their places is a candidate.
+WIDEST, WORST = 1024, 4
 
 
 class HistoryIndex:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lapidary.llm import history
@@ -87,3 +88,25 @@ def test_decided(spark):
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "b"), ("e", "a")], "query string, node string")
     kept, rejected = history.decided(links)
     assert sorted(r.node for r in kept.collect()) == ["a", "c"] and sorted(r.node for r in rejected.collect()) == ["b", "d", "e"]
+
+
+def test_crowds():
+    # Two queries whose nearest nodes are a crowd of candidates, one of them with a single node within that is none;
+    # the node that counts lies behind the crowd.
+    rng = np.random.RandomState(3)
+    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    alone, centre = unit(rng.normal(size=(2000, 32))), unit(rng.normal(size=(2, 32)))
+    crowds = [unit(c + 0.1 * rng.normal(size=(m, 32))) for c, m in zip(centre, (4000, 200))]
+    behind = unit(centre + 0.2 * rng.normal(size=(2, 32)))
+    vectors = np.vstack([alone, *crowds, centre[1:], behind])
+    bits = rng.randint(-(1 << 62), 1 << 62, (len(vectors), 2), dtype=np.int64)
+    own = bits[:2000].copy()
+    own[[1, 3]] = bits[2000], bits[6000]
+    bits[2000:6000], bits[6000:6200], bits[6201], bits[6202] = own[1], own[3], own[1], own[3]
+    queries = alone.copy()
+    queries[[1, 3]] = centre
+    index = history._row("s", [f"n{i}" for i in range(len(vectors))], vectors, bits)
+    q = pd.DataFrame({"query": [f"q{i:04d}" for i in range(2000)], "vec": [v.tobytes() for v in queries], "s1": own[:, 0], "s2": own[:, 1]})
+    got = history._search(40)(("s", 0), index, q).groupby("query")["node"].agg(set)
+    assert got["q0001"] == {*(f"n{i}" for i in range(2000, 6000)), "n6201"}
+    assert got["q0003"] == {*(f"n{i}" for i in range(6000, 6200)), "n6202"}

@@ -5,11 +5,14 @@ a structure that it opens is never closed, or if the prose after the last struct
 Prose that ends without a sentence mark breaks off. Prose that ends with one may still be cut (a mark put after the
 break), which two kinds of evidence from the whole corpus decide:
 
-* a vocabulary trie: the last token is unknown and a proper prefix of known words;
+* a vocabulary trie: the last token is unknown and a proper prefix of known words, and either seldom at all or rare next
+  to the most frequent of them;
 * end-of-text n-grams: the last token (unless it is a number), and the token before it together with the shape of the
   last, are both frequent and hardly ever stand before a sentence mark.
 
-The trie is a table of prefixes that is joined with the last tokens, so the vocabulary needn't fit in one place.
+The trie is a table of prefixes that is joined with the last tokens, so the vocabulary needn't fit in one place. It
+counts texts with the same letters and digits once, so that copies of a cut value don't make its fragment a word; the
+n-grams count every record, as whole values recur as well.
 Values without content (null, blank, no letter or digit, only a word for nothing) are no case. Repeated deliveries
 count once. A lone word, number, word list or grid is whole; Thai prose has no sentence marks and counts as whole.
 """
@@ -21,7 +24,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.session import durable
@@ -189,58 +192,70 @@ _KEYS_AT_ONCE = 300_000
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of tokens and of pairs, and how often a sentence mark or a bracket that closes the text follows."""
+    """Counts of tokens and of pairs, and how often a sentence mark follows: in all records, and in the first of all texts
+    with the same letters and digits, where the end of a text without a mark tells nothing of its last token."""
     one: dict[str, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
-        keys, n, e = list(one), [v[0] for v in one.values()], [v[1] for v in one.values()]
+        columns = zip(*one.values()) if one else ((),) * 4
+        out = pa.RecordBatch.from_arrays([pa.array(list(one), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], ["key", *COUNTS])
         one.clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64()), pa.array(e, pa.int64())], ["key", "n", "ends"])
+        return out
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if not text:
-                continue
-            before = "^"
-            for token, mark in _PAIR.findall(text):
+        for text, records, first in zip(*[c.to_pylist() for c in batch.columns]):
+            before, found = "^", _PAIR.findall(text)
+            for at, (token, mark) in enumerate(found, 1):
                 low = token.lower()
                 ended = 1 if mark else 0
+                told = 1 if first and (mark or at < len(found)) else 0
                 for key in (low, f"{before}|{_shape(token)}"):
                     v = one.get(key)
                     if v is None:
-                        one[key] = [1, ended]
-                    else:
-                        v[0] += 1
-                        v[1] += ended
+                        v = one[key] = [0, 0, 0, 0]
+                    v[0] += records
+                    v[1] += records * ended
+                    v[2] += told
+                    v[3] += told * ended
                 before = "^" if mark else low
             if len(one) > _KEYS_AT_ONCE:
                 yield flush()
     yield flush()
 
 
+#: Occurrences and ends in all records, and in texts that differ.
+COUNTS = ("n", "ends", "texts", "text_ends")
 #: A known word stands at least so often within sentences; n-grams must be this frequent, and end a sentence this seldom, to tell a break.
-#: A token that ends sentences so often is a word, whatever else it begins.
-KNOWN, FREQUENT, SELDOM, ENDS = 2, 30, 0.02, 3
+#: A token that ends sentences so often is a word, unless it is this rare next to a word that it begins, and as rare within sentences next to its ends.
+KNOWN, FREQUENT, SELDOM, ENDS, RARE = 2, 30, 0.02, 3, 0.05
 
 
 def corpus_statistics(values: DataFrame) -> DataFrame:
-    """(key, n, ends) over all values; ``values`` has the column text. It is read several times, so it is written once."""
-    counts = values.select("text").mapInArrow(_statistics, "key string, n bigint, ends bigint")
-    return durable(counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
+    """(key, n, ends, texts, text_ends) over all values; ``values`` has tab, rec_key, text. It is read several times, so it
+    is written once."""
+    norm = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
+    rows = values.where("text is not null").select("tab", "rec_key", "text").distinct().groupBy("text").agg(F.count("*").alias("records"))
+    rows = rows.withColumns({"h1": F.xxhash64(norm), "h2": F.hash(norm)})
+    first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("text")) == 1
+    counts = rows.select("text", "records", first.alias("first")).mapInArrow(_statistics, "key string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return durable(counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
 def suspicious_ends(ends: DataFrame, stats: DataFrame) -> DataFrame:
     """The pairs (k1, k2) of ``ends`` at which a text doesn't end."""
     pairs = ends.select("k1", "k2").distinct()
     joined = (
-        pairs.join(stats.select(F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("ends").alias("e1")), "k1", "left")
+        pairs.join(stats.select(F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("ends").alias("e1"), F.col("texts").alias("t1"), F.col("text_ends").alias("te1")), "k1", "left")
         .join(stats.select(F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("ends").alias("e2")), "k2", "left")
-        .select("k1", "k2", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n1", "e1", "n2", "e2")])
+        .select("k1", "k2", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n1", "e1", "t1", "te1", "n2", "e2")])
     )
-    # The trie: every proper prefix of a known word, of one letter or more.
-    known = stats.where((F.col("n") >= KNOWN) & ~F.col("key").contains("|") & (F.length("key") > 1) & ~F.col("key").rlike("^[0-9]"))
-    nodes = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("k1")).distinct()
-    unknown = joined.where((F.col("n1") - F.col("e1") < KNOWN) & (F.col("e1") < ENDS) & ~F.col("k1").rlike("[0-9]")).join(nodes, "k1", "left_semi").select("k1", "k2")
+    # The trie: every proper prefix of a known word, of one letter or more, with the count of the most frequent such word.
+    known = stats.where((F.col("texts") >= KNOWN) & ~F.col("key").contains("|") & (F.length("key") > 1) & ~F.col("key").rlike("^[0-9]"))
+    nodes = known.select("texts", F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("k1")).groupBy("k1").agg(F.max("texts").alias("most"))
+    inside = F.col("t1") - F.col("te1")
+    few = (inside < KNOWN) & (F.col("te1") < ENDS)
+    rare = ((inside < KNOWN) | (inside <= RARE * F.col("te1"))) & (F.col("t1") <= RARE * F.col("most"))
+    unknown = joined.where(~F.col("k1").rlike("[0-9]")).join(nodes, "k1").where(few | rare).select("k1", "k2")
     seldom = lambda n, e: (F.col(n) >= FREQUENT) & (F.col(e) <= SELDOM * F.col(n))
     # The number itself tells nothing, only what stands before it does.
     number = F.col("k1").rlike("[0-9]")

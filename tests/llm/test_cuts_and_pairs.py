@@ -33,6 +33,23 @@ def test_mark_after_the_break(spark):
     assert cuts.cut_values(spark.createDataFrame([], "tab string, rec_key string, text string")).count() == 0
 
 
+def test_broken_words_in_number(spark):
+    # One cut value copied many times, in several looks, and a fragment that many values end with, with and without a mark;
+    # a word that only ends sentences stays one, whatever it begins.
+    columns = "tab string, rec_key string, text string"
+    good = [f"The lantern of reader {i} stands beside the harbour. Its column crosses no borders, and the tower is the border." for i in range(200)]
+    rows = [("t", f"g{i}", t) for i, t in enumerate(good)]
+    copies = [("t", f"c{i}", ("the lantern  stands beside the harb." if i % 2 else "The lantern stands beside the harb.")) for i in range(100)]
+    many = [("t", f"m{i}", f"The reader {i} of the lantern names the colu" + "." * (i % 3 > 0)) for i in range(9)]
+    assert {r.rec_key for r in cuts.cut_values(spark.createDataFrame(rows + copies + many, columns)).collect()} == {r[1] for r in copies + many}
+    stats = {r.key: (r.texts, r.text_ends) for r in cuts.corpus_statistics(spark.createDataFrame(rows + copies * 2, columns)).collect()}
+    assert stats["harb"] == (1, 1) and stats["border"] == (200, 200)
+    # An ending of one whole text that many records share counts for each of them.
+    asked = [("t", f"a{i}", f"The reader {i} can take the lantern on to the column.") for i in range(200)]
+    declined = [("t", f"d{i}", "The lantern of the reader is not something to take on.") for i in range(20)]
+    assert cuts.cut_values(spark.createDataFrame(asked + declined * 2, columns)).count() == 0
+
+
 def test_rates(spark):
     p = spark.createDataFrame([("1", "[[a", '{"generator": "g"}'), ("1", "[[a", '{"generator": "g"}'), ("2", "[[a]]", "broken"), ("3", None, None), ("4", "[[b]]", '{"generator": "g"}')], "id string, answer string, metadata string")
     c = spark.createDataFrame([("1", "[[a", "m"), ("2", None, None)], "trace_id string, response_raw string, model string")

@@ -718,8 +718,10 @@ def solve_24(spark: SparkSession, base: str) -> DataFrame:
 
 @query()
 def complete_latin(spark: SparkSession, base: str) -> DataFrame:
-    """Latin squares completed from the first rows of square answers with values in range."""
-    g = _puzzles(spark, base).where("answer is not null").select("id", grids.grid("answer").alias("g")).where((F.size("g") >= 2) & (F.size("g") <= 6) & grids.rectangular(F.col("g")) & grids.all_digits(F.col("g")))
+    """Latin squares completed from the first rows, with values in range, of square answers of two rows or more.
+
+    The solver's limit of steps is the only one of size; a square that reaches it has ``solved`` = false."""
+    g = _puzzles(spark, base).where("answer is not null").select("id", grids.grid("answer").alias("g")).where((F.size("g") >= 2) & grids.rectangular(F.col("g")) & grids.all_digits(F.col("g")))
     n = F.size("g")
     clue = F.concat(grids.rendered(F.slice("g", 1, 1)), F.repeat(F.concat(F.lit(","), F.array_join(F.array_repeat(F.lit("0"), n), " ")), n - 1))
     return g.where(F.forall(F.get("g", F.lit(0)), lambda c: c.cast("int").between(1, F.size("g"))) & (F.size("g") == F.size(F.get("g", F.lit(0)))) & (F.size(F.array_distinct(F.get("g", F.lit(0)))) == F.size("g"))).select("id", solvers.latin_udf(clue).alias("s")).select("id", "s.solution", "s.solved")

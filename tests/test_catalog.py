@@ -33,3 +33,18 @@ def test_query(spark, data, con, name):
         assert sorted(names) == columns
         at = [names.index(c) for c in columns]
         assert plain(rows) == plain(tuple(r[i] for i in at) for r in o.fetchall())
+
+
+def test_large_latin_squares(spark, tmp_path):
+    def square(n):
+        return "[[" + ",".join(" ".join(str((r + c) % n + 1) for c in range(n)) for r in range(n)) + "]]"
+
+    rows = [(str(n), square(n)) for n in (2, 6, 7, 8, 12, 20)] + [("7", square(7)), ("uneven", "[[1 2 3,2 3 1]]"), ("range", "[[1 9,2 1]]"), ("null", None)]
+    spark.createDataFrame(rows, "id string, answer string").write.parquet(str(tmp_path / "puzzles.parquet"))
+    got = {r.id: r for r in QUERIES["complete_latin"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"2", "6", "7", "8", "12", "20"}
+    for n in (2, 6, 7, 8):
+        g = [x.split() for x in got[str(n)].solution.split(",")]
+        assert got[str(n)].solved and g[0] == [str(c) for c in range(1, n + 1)]
+        assert all(sorted(x) == sorted(g[0]) for x in [*g, *map(list, zip(*g))])
+    assert not got["20"].solved and got["20"].solution == ""

@@ -10,8 +10,8 @@ reranked by the exact similarity of their sets.
 A record is rejected if its set, or one similar to it, stands in the history or in an earlier record that was kept.
 Only the first record of a set can be kept. The rest is decided over the links between the remaining records: a record
 without an earlier similar one is kept, those similar to a kept one are rejected, and so on until all are decided.
-The records kept with links are then searched against each other once more, so a link that a beam missed
-still counts.
+The records kept are then searched against each other once more; links that come out so are added to all links, and all
+records decided anew, until no new link is found.
 
 Null questions and those with fewer than three words are similar to nothing and never rejected. Repeated deliveries
 count once.
@@ -227,6 +227,21 @@ def decided(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, rejected
 
 
+def settled(links: DataFrame, again) -> DataFrame:
+    """The rejected nodes when no new link is left; ``again(rejected)`` gives the links found among all other records.
+
+    New links join all links and everything is decided from the start, as a record that is rejected by them rejects no other.
+    """
+    links = durable(links)
+    while True:
+        _, rejected = decided(links)
+        # Records that are kept have no known link among each other, so each of these is new.
+        more = durable(again(rejected))
+        if more.isEmpty():
+            return rejected
+        links = durable(links.union(more))
+
+
 def rejected_records(batches: DataFrame, history: list[DataFrame], threshold: float = THRESHOLD, segment: int = SEGMENT) -> DataFrame:
     """(batch_no, rec_id) of the rejected records. ``batches`` has batch_no, rec_id, question; each history frame has question."""
     rows = batches.select("batch_no", "rec_id", "question").distinct()
@@ -267,19 +282,12 @@ def rejected_records(batches: DataFrame, history: list[DataFrame], threshold: fl
             later = F.col("of_query") > F.col("of_node")
             return placed.select(F.when(later, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(later, F.col("node")).otherwise(F.col("query")).alias("node")).distinct()
 
-        linked, rejected = decided(links(own_index, remaining, upto))
-        for _ in range(100):
-            again = remaining.join(linked, "node", "left_semi")
+        def again(rejected: DataFrame) -> DataFrame:
+            among = durable(remaining.join(rejected, "node", "left_anti"))
             small = HistoryIndex(segment)
-            small.add(durable(again), "kept")
-            if small.index is None:
-                break
-            more = durable(links(small, again))
-            if more.isEmpty():
-                break
-            still, gone = decided(more)
-            rejected = durable(rejected.union(gone))
-            linked = durable(linked.join(gone, "node", "left_anti"))
-        kept = kept.join(rejected, "node", "left_anti")
+            small.add(among, "kept")
+            return links(small, among)
+
+        kept = kept.join(settled(links(own_index, remaining, upto), again), "node", "left_anti")
     kept = remaining.join(kept, "node", "left_semi").select("batch_no", "rec_id")
     return own.select("batch_no", "rec_id").join(kept, ["batch_no", "rec_id"], "left_anti").distinct()

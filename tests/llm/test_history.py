@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lapidary.llm import history
 from lapidary.llm.graph import Graph
@@ -110,3 +111,23 @@ def test_crowds():
     got = history._search(40)(("s", 0), index, q).groupby("query")["node"].agg(set)
     assert got["q0001"] == {*(f"n{i}" for i in range(2000, 6000)), "n6201"}
     assert got["q0003"] == {*(f"n{i}" for i in range(6000, 6200)), "n6202"}
+
+
+def test_links_found_late(spark, monkeypatch):
+    # The first search finds only that c is near b; that b is near a, and e near d, comes out when the kept are searched again.
+    texts = {"a": "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10", "b": "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12", "c": "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16", "d": "v1 v2 v3 v4 v5", "e": "v1 v2 v3 v4 v5 v6"}
+    rows = [(1, k, t) for k, t in texts.items()]
+    assert brute(rows, []) == {(1, "b"), (1, "e")}
+    searches = []
+
+    def candidates(self, queries, threshold=history.THRESHOLD, upto=None):
+        searches.append(queries.count())
+        q = queries.select("node", F.size("shingles").alias("many"))
+        pairs = q.select(F.col("node").alias("query"), F.col("many").alias("of_query")).crossJoin(q.select("node", F.col("many").alias("of_node")))
+        # Sets of 10 and 14 members are b and c.
+        return (pairs.where("of_query in (10, 14) and of_node in (10, 14)") if len(searches) == 1 else pairs).select("query", "node")
+
+    monkeypatch.setattr(history.HistoryIndex, "candidates", candidates)
+    df = spark.createDataFrame([(*r, "x") for r in rows], BATCH)
+    got = {(r.batch_no, r.rec_id) for r in history.rejected_records(df, [spark.createDataFrame([], "question string")]).collect()}
+    assert got == {(1, "b"), (1, "e")} and searches == [5, 4, 3]

@@ -5,7 +5,8 @@ closing quotes after them and, in Thai, blanks can carry the boundary tag, so th
 candidates. The emission of a candidate sums log-odds of features: what stands before the mark (abbreviation,
 initial, number, word), what follows (case, digit, script), open quotes and brackets, how a quote was introduced. The
 log-odds of abbreviations, of labels before single letters and of the characters around Thai blanks are fitted on the
-corpus itself; those around Thai blanks on text whose blanks were taken out. Transitions forbid two boundaries
+corpus itself; those around Thai blanks on text whose blanks were taken out, which never outweighs the rule that a blank ends a Thai
+sentence. Transitions forbid two boundaries
 without a letter or digit between them.
 
 A null or blank text has no sentences. Offsets count code points, end exclusive, without outer blanks. Repeated texts

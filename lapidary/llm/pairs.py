@@ -1,8 +1,9 @@
 """Problem 7: defective pairs of prompt and response, each with its one defect.
 
-In this order: ``empty`` (no content), ``truncated`` (as in problem 6, with its end-of-text n-grams), ``refusal``,
-``copy`` (most word shingles of the answer stand in the question), ``language``. Languages are compared by the
-posteriors of a character n-gram naive Bayes model, fitted on a bounded sample of the labelled documents.
+In this order: ``empty`` (no content), ``truncated`` (as in problem 6, with its end-of-text likelihood), ``refusal`` (by a
+classifier fitted on examples in nine languages and the corpus itself), ``copy`` (most word shingles of the answer stand
+in the question), ``language``. Languages are compared by the posteriors of a character n-gram naive Bayes model, fitted
+on a bounded sample of the labelled documents. The fitted tables, of fixed size, go to the workers.
 
 A null answer is empty. With a null or empty question only empty, truncated and refusal can be told. Repeated
 deliveries count once. Ties between languages count as the same language.
@@ -20,39 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.llm import cuts
-from lapidary.session import durable
+from lapidary.llm.refusals import Refusals
 from lapidary.llm.words import words
+from lapidary.session import durable
 
-#: The model is fitted on at most so many labelled documents, chosen by a hash of their id.
-SAMPLE = 1500
+#: The models are fitted on at most so many labelled documents and answers, chosen by a hash, of at most so many characters each.
+SAMPLE, ANSWERS, LONGEST = 1500, 5000, 20_000
+#: Of those documents so many are examples of what refuses nothing.
+REFUSING_NOTHING = 500
 _BITS = 14
 _LETTER = re.compile(r"[^\W\d_]")
 COPY_WORDS, COPY_SHARE = 8, 0.8
 #: Prose has at least so many letters (Han and kana count threefold), and a language must win by so many nats.
 PROSE_LETTERS, MARGIN = 24, 12.0
 
-#: Ways to decline a task.
-_VERBS = r"(?:help|assist|answer|do|provide|give|share|solve|write|produce|continue|comply|complete|fulfil|fulfill|create|generate|take|handle|respond|engage|discuss|support|process|offer|work\s+on|go\s+on|proceed)"
-REFUSAL = re.compile(
-    rf"""\b(?:i|we)\s+(?:am|are|'m|'re)?\s*(?:really\s+|simply\s+)?(?:can't|cannot|can\s+not|won't|will\s+not|could\s+not|couldn't|do\s+not|don't|am\s+not\s+able\s+to|must\s+not|may\s+not|shall\s+not)\s+(?:really\s+|simply\s+)?{_VERBS}\b
-    |\b(?:i|we)(?:\s+am|'m|\s+are|'re)\s+(?:sorry,?\s+but\s+i\b|unable\s+to|not\s+able\s+to|not\s+allowed\s+to|not\s+permitted\s+to|not\s+comfortable|not\s+in\s+a\s+position)
-    |\b(?:i|we)\s+(?:must|have\s+to|need\s+to|will|shall|would\s+like\s+to|respectfully)\s+(?:respectfully\s+|politely\s+)?(?:decline|refuse|stop\s+(?:at|here)|pass\s+on|abstain|leave\s+[^.]{{0,80}}unanswered)
-    |\bi(?:'d|\s+would)\s+(?:rather\s+not|prefer\s+(?:not\s+to|to\s+skip|to\s+leave))
-    |\b(?:is|are)\s+not\s+something\s+(?:i|we)\s+can\b|\bnot\s+possible\s+for\s+(?:me|us)\s+to\b|\boutside\s+(?:of\s+)?my\s+(?:scope|remit|abilities)
-    |\bmy\s+(?:guidelines|rules|instructions|policies|policy)\s+(?:do\s+not|does\s+not|don't|doesn't|forbid|prevent)|\bbeyond\s+what\s+i\s+(?:may|can)\b
-    |\blet\s+us\s+talk\s+about\s+something\s+else|\bi\s+do\s+not\s+respond\s+to\b|\bi\s+(?:decline|refuse)\s+to\b|\bas\s+an?\s+(?:language|ai)\s+(?:assistant|model)\b
-    |\b(?:been\s+)?(?:told|instructed|asked|trained)\s+not\s+to\s+[a-z]+|\bno\s+(?:answer|solution|grid|puzzle)\s+(?:will\s+be|is|can\s+be)\s+(?:given|provided|shared)|\boff\s+limits\b
-    |\black(?:s)?\s+(?:the\s+)?permission\b|\b(?:beyond|outside)\s+(?:of\s+)?(?:my|our)\s+(?:remit|scope|abilities|permissions)|\bnobody\s+(?:has\s+)?cleared\s+me\b|\btalk\s+about\s+something\s+else\s+instead
-    |恕(?:我)?(?:不|难)|拒绝(?!的)|(?:我|本人)(?:无法|不能|不便|不可以|没法)(?:回答|处理|给出|提供|完成|解答|协助|继续|生成|写|满足|回应|讨论)|帮不上忙|不予(?:回答|提供|处理)|请另找|谈点别的|换个话题|不答了|超出了?我的|未获(?:得)?(?:许可|授权)|恕难从命|只能到此为止""",
-    re.I | re.X,
-)
-_REFUSAL_HINT = re.compile(r"恕|拒绝|无法|不能|不便|帮不上|不予|请另|话题|谈点|不答|超出|未获|到此为止|assistant|given|limits|permission|told|instructed|\b(?:I|i|my|My|me|us|we|We|I'm|I'd)\b")
-
-
-def refuses(answer: str) -> bool:
-    return bool(_REFUSAL_HINT.search(answer)) and bool(REFUSAL.search(answer.replace("’", "'")))
-
-
 def copies_question(question: str, answer: str) -> bool:
     a = words(answer)
     if len(a) < COPY_WORDS:
@@ -95,22 +77,28 @@ def prose(text: str) -> str:
     for part in out:
         part = _STRUCTURE.sub("\n", part)
         for line in part.split("\n"):
-            line = _GRIDS.sub(" ", line)
-            if line.strip() and (cuts.is_prose(line) or cuts._THAI.search(line)):
-                kept.append(line)
+            # Whole prose ends with a sentence mark (but for Thai) and has several words.
+            bare = line.rstrip().rstrip(cuts.CLOSERS)
+            if cuts._THAI.search(line) or bare[-1:] in cuts.TERMINAL and len(cuts._TOKEN.findall(line)) > 3:
+                kept.append(_GRIDS.sub(" ", line))
     return " ".join(kept)
 
 
 class Languages:
-    """Character n-gram naive Bayes over hashed 1- to 3-grams."""
+    """Character n-gram naive Bayes over hashed 1- to 3-grams: ``logs`` of the grams by language, and of the priors."""
+
+    def __init__(self, names: list[str], logs: np.ndarray, priors: np.ndarray):
+        self.names, self.logs, self.priors = names, logs, priors
 
-    def __init__(self, samples: list[tuple[str, str]]):
-        self.names = sorted({k for k, _ in samples})
-        size = 1 << _BITS
-        counts = np.full((max(1, len(self.names)), size), 0.05)
+    @classmethod
+    def fitted(cls, samples: list[tuple[str, str]]) -> Languages:
+        names = sorted({k for k, _ in samples})
+        counts = np.full((max(1, len(names)), 1 << _BITS), 0.05)
+        texts = np.ones(max(1, len(names)))
         for name, text in samples:
-            np.add.at(counts[self.names.index(name)], self.grams(text), 1)
-        self.logs = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()
+            np.add.at(counts[names.index(name)], cls.grams(text), 1)
+            texts[names.index(name)] += 1
+        return cls(names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).T.copy(), np.log(texts / texts.sum()))
 
     @staticmethod
     def grams(text: str) -> np.ndarray:
@@ -125,8 +113,9 @@ class Languages:
         return (np.concatenate([one, two, three]) >> np.uint64(18) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
 
     def posterior(self, text: str) -> np.ndarray:
-        """Log likelihoods by language."""
-        return self.logs[self.grams(text)].sum(axis=0)
+        """Logarithms of the posterior probabilities of the languages."""
+        z = self.priors + self.logs[self.grams(text)].sum(axis=0, dtype=np.float64)
+        return z - np.logaddexp.reduce(z)
 
 
 def letters(text: str) -> int:
@@ -145,43 +134,45 @@ def other_language(model: Languages, question: str, answer: str) -> bool:
     return asked != given and of_a[given] - of_a[asked] > MARGIN and of_q[asked] - of_q[given] > MARGIN / 2
 
 
-def fitted_languages(documents: DataFrame, rows: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts, the labels reduced to two small letters."""
+def samples(documents: DataFrame, pairs: DataFrame) -> tuple[list[tuple[str, str]], list[str]]:
+    """At most SAMPLE labelled documents (label in two small letters, text), and ANSWERS answers, of at most LONGEST characters."""
     lang = F.lower(F.substring("lang", 1, 2))
     kept = documents.where("lang is not null and text is not null").select("doc_id", lang.alias("lang"), "text")
-    kept = kept.where(F.col("lang").rlike("^[a-z]{2}$") & (F.col("lang") != "un"))
-    return [(r.lang, r.text) for r in kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    kept = kept.where(F.col("lang").rlike("^[a-z]{2}$") & (F.col("lang") != "un") & (F.length("text") <= LONGEST))
+    labelled = [(r.lang, r.text) for r in kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
+    some = pairs.where(F.length("text") <= LONGEST).select("text").orderBy(F.xxhash64("text"), "text").limit(ANSWERS)
+    return labelled, [r.text for r in some.collect()]
 
 
-_MODELS: dict[int, Languages] = {}
+_MODELS: dict[int, tuple[Languages, Refusals]] = {}
 
 
 def _defects(shared, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _MODELS.get(number)
-        if model is None:
-            model = _MODELS[number] = Languages(shared.value)
+        if number not in _MODELS:
+            _MODELS.clear()
+            *of_languages, weights = shared.value
+            _MODELS[number] = Languages(*of_languages), Refusals(weights)
+        languages, refusals = _MODELS[number]
         for batch in batches:
             out = []
-            for q, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                state, k1, k2, rest = cuts.WHOLE, "", "", None
+            for q, a in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                state, *keys, rest = cuts.WHOLE, "", "", [], 0, None
                 if cuts.no_content(a):
                     rest = "empty"
                 else:
-                    state, k1, k2 = cuts.judge(a)
+                    state, *keys = cuts.judge(a)
                     if state != cuts.CUT:
-                        if refuses(a):
+                        if refusals.refuses(a):
                             rest = "refusal"
                         elif q and copies_question(q, a):
                             rest = "copy"
-                        elif q and other_language(model, q, a):
+                        elif q and other_language(languages, q, a):
                             rest = "language"
-                out.append((state, k1, k2, rest))
-            s, k1, k2, rest = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(s, pa.int32()), pa.array(k1, pa.string()), pa.array(k2, pa.string()), pa.array(rest, pa.string())],
-                ["tab", "rec_key", "state", "k1", "k2", "rest"],
-            )
+                out.append((keys[3], state, *keys[:3], rest))
+            lengths, s, k1, k2, lists, rest = zip(*out) if out else ((),) * 6
+            columns = [pa.array(lengths, pa.int32()), pa.array(s, pa.int32()), pa.array(k1, pa.string()), pa.array(k2, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array(rest, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], ["tab", "rec_key", "source", "length", "state", "k1", "k2", "pairs", "rest"])
 
     return run
 
@@ -189,14 +180,17 @@ def _defects(shared, number: int):
 def defects(puzzles: DataFrame, call_traces: DataFrame, documents: DataFrame) -> DataFrame:
     """(tab, rec_key, defect) of every defective pair."""
     spark = puzzles.sparkSession
-    shared = spark.sparkContext.broadcast(fitted_languages(documents))
-    pairs = puzzles.select(F.lit("puzzles").alias("tab"), F.col("id").alias("rec_key"), "question", F.col("answer").alias("text")).union(
-        call_traces.select(F.lit("call_traces").alias("tab"), F.col("trace_id").alias("rec_key"), F.col("prompt_user").alias("question"), F.col("response_raw").alias("text"))
+    of_p = cuts.generator() if "metadata" in puzzles.columns else F.lit("unknown")
+    of_c = F.coalesce("model", F.lit("unknown")) if "model" in call_traces.columns else F.lit("unknown")
+    pairs = puzzles.select(F.lit("puzzles").alias("tab"), F.col("id").alias("rec_key"), of_p.alias("source"), "question", F.col("answer").alias("text")).union(
+        call_traces.select(F.lit("call_traces").alias("tab"), F.col("trace_id").alias("rec_key"), of_c.alias("source"), F.col("prompt_user").alias("question"), F.col("response_raw").alias("text"))
     )
-    judged = pairs.mapInArrow(_defects(shared, shared._jbroadcast.id()), "tab string, rec_key string, state int, k1 string, k2 string, rest string")
+    labelled, answers = samples(documents, pairs)
+    languages, refusals = Languages.fitted(labelled), Refusals.fitted([t for _, t in labelled[:REFUSING_NOTHING]], answers)
+    shared = spark.sparkContext.broadcast((languages.names, languages.logs, languages.priors, refusals.weights))
+    judged = pairs.mapInArrow(_defects(shared, shared._jbroadcast.id()), f"{cuts.JUDGED}, rest string")
     judged = durable(judged.where((F.col("state") != cuts.WHOLE) | F.col("rest").isNotNull()))
-    ends = judged.where(F.col("state") == cuts.ENDED)
-    broken = cuts.suspicious_ends(ends, cuts.corpus_statistics(pairs)).withColumn("broken", F.lit(True))
-    cut = (F.col("state") == cuts.CUT) | F.col("broken")
-    told = judged.join(broken, ["k1", "k2"], "left").withColumn("defect", F.when(F.col("rest") == "empty", "empty").when(cut, "truncated").otherwise(F.col("rest")))
+    cut = judged.where(F.col("state") == cuts.CUT).select("tab", "rec_key").union(cuts.cut_tails(judged, pairs.select("tab", "rec_key", "text", "source")))
+    told = judged.select("tab", "rec_key", "rest").join(cut.distinct().withColumn("cut", F.lit(True)), ["tab", "rec_key"], "left")
+    told = told.withColumn("defect", F.when(F.col("rest") == "empty", "empty").when(F.col("cut"), "truncated").otherwise(F.col("rest")))
     return told.where("defect is not null").select("tab", "rec_key", "defect").distinct()

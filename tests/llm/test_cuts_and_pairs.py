@@ -57,13 +57,12 @@ def test_length_evidence(spark):
     # Thirty values of source a are cut at 120 characters. A word that seldom stands within sentences and never at an end
     # is too little evidence by itself; together with the length of its source it is enough.
     filler = " It belongs to the keeper. Row 5 cannot hold another yoke. It belongs to the keeper."
-    rows = [(*r, "a") for r in corpus(200)] + [("t", f"r{i}", f"That leaves {i} for the cage. The lantern gleams beside the harbour.", "a") for i in range(3)]
+    seldom = ["gleams", "glitters", "shimmers"]
+    rows = [(*r, "a") for r in corpus(200)] + [("t", f"r{i}{w}", f"That leaves {i} for the cage. The lantern {w} beside the harbour.", "a") for i in range(3) for w in seldom]
     rows += [("t", f"p{i}", (t + filler)[:120], "a") for i, (_, _, t) in enumerate(corpus(30, 2))]
-    end = "The lantern gleams"
-    text = ("That leaves 4 for the cage. It belongs to the keeper. Row 4 cannot hold another yoke. It is odd. " + end)[:-len(end)]
-    text += " " * (120 - len(text) - len(end)) + end
-    assert len(text) == 120
-    rows += [("t", "limit", text + ".", "a"), ("t", "other", text + ".", "b"), ("t", "longer", "So: " + text + ".", "a")]
+    lead = "That leaves 4 for the cage. It belongs to the keeper. Row 4 cannot hold another yoke. "
+    limit, other, longer = (lead + f"The lantern {w}".rjust(120 - len(lead)) for w in seldom)
+    rows += [("t", "limit", limit + ".", "a"), ("t", "other", other + ".", "b"), ("t", "longer", "So: " + longer + ".", "a")]
     df = spark.createDataFrame(rows, COLUMNS + ", source string")
     with_, without = ({r.rec_key for r in cuts.cut_values(df, using).collect()} for using in (cuts.ALL, cuts.ALL - {cuts.LENGTH}))
     assert with_ - without == {"limit"} and not without - with_

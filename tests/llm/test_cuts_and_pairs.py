@@ -58,7 +58,7 @@ def test_length_evidence(spark):
     # is too little evidence by itself; together with the length of its source it is enough.
     filler = " It belongs to the keeper. Row 5 cannot hold another yoke. It belongs to the keeper."
     seldom = ["gleams", "glitters", "shimmers"]
-    rows = [(*r, "a") for r in corpus(200)] + [("t", f"r{i}{w}", f"That leaves {i} for the cage. The lantern {w} beside the harbour.", "a") for i in range(3) for w in seldom]
+    rows = [(*r, "a") for r in corpus(200)] + [("t", f"r{i}{w}", f"That leaves {i} for the cage. The lantern {w} beside the harbour.", "a") for i in range(1) for w in seldom]
     rows += [("t", f"p{i}", (t + filler)[:120], "a") for i, (_, _, t) in enumerate(corpus(30, 2))]
     lead = "That leaves 4 for the cage. It belongs to the keeper. Row 4 cannot hold another yoke. "
     limit, other, longer = (lead + f"The lantern {w}".rjust(120 - len(lead)) for w in seldom)

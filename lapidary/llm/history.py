@@ -1,11 +1,16 @@
 """Problem 3: new batches against all history, by navigable small-world graphs per history segment.
 
-The history is indexed in segments of bounded size, each with one graph over random projections of shingle sets; the
-index is built once and kept, so a new batch is searched against it and added as a shard of its own, without reading
-the history anew. When there are many small shards they are compacted. The beam of a search is widened on each shard
-until it finds what an exhaustive search finds for sample queries. A query whose beam is crowded with candidates up to
-its worst places is compared with the sketches of the whole shard. Candidates pass a filter on sketches and are
-reranked by the exact similarity of their sets.
+The index lies in a table in a folder and outlives the session: segments of bounded size, each with the shingle sets of
+its records and one graph over random projections of them. A batch is searched against the index, and its kept records
+are appended to it as a shard of their own; no history is read but the index. When there are many small shards they are
+compacted. Every change writes new files and then a new version of the list of shards, itself a table, so a reader or a
+lost executor never meets half a change.
+
+A search walks the graph with a beam. For every shard and block of queries the beam is widened until it finds what an
+exact search finds for sample queries: all nodes whose sets are similar, counted over an inverted list of the shard. What
+the beam holds is reranked by the exact similarity of the sets. A query whose beam is crowded with near nodes up to its
+worst places, and every query of a shard that no beam serves well enough, is searched exactly over the inverted lists, so
+no beam is a cap.
 
 A record is rejected if its set, or one similar to it, stands in the history or in an earlier record that was kept.
 Only the first record of a set can be kept. The rest is decided over the links between the remaining records: a record
@@ -19,25 +24,26 @@ count once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapidary.llm import sketches
 from lapidary.llm.graph import SAMPLE, Graph
 from lapidary.llm.words import mix
-from lapidary.session import durable
+from lapidary.session import checkpoint_folder, durable
 
 THRESHOLD = 0.6
 DIMENSIONS = 32
 #: Nodes of a history segment, queries that one task searches, and shards below half a segment after which they are compacted.
-SEGMENT, QUERIES, COMPACT_AFTER = 100_000, 50_000, 16
+SEGMENT, QUERIES, COMPACT_AFTER = 50_000, 25_000, 16
 
-INDEX = "shard string, ids array<string>, vectors binary, bits binary, links binary"
+SHARDS = "shard string, n bigint, ids array<string>, vectors binary, links binary, members binary, ends binary"
 
 
 def vector(shingles: np.ndarray) -> np.ndarray:
@@ -55,22 +61,111 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(at)
         flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
         out = pa.array([vector(flat[a:b]).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-        kept = [i for i in range(batch.num_columns) if i != at]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], out], [*[batch.schema.names[i] for i in kept], "vec"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "vec"])
 
 
 def with_vectors(df: DataFrame) -> DataFrame:
-    """``df`` with the column vec in place of shingles."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "shingles")
+    """``df`` with the column vec."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(_vectors, f"{fields}, vec binary")
 
 
-def _row(shard: str, ids: list[str], vectors: np.ndarray, bits: np.ndarray) -> pd.DataFrame:
-    # The graph doesn't depend on the order of delivery; long links come from a random order of insertion.
-    order = np.argsort([hash_of(i) for i in ids], kind="stable")
-    ids, vectors, bits = [ids[k] for k in order], vectors[order], bits[order]
-    graph = Graph(vectors)
-    return pd.DataFrame({"shard": [shard], "ids": [ids], "vectors": [graph.vectors.tobytes()], "bits": [bits.tobytes()], "links": [graph.links.tobytes()]})
+class Segment:
+    """The nodes of a shard: names, vectors, graph and sets."""
+
+    def __init__(self, ids, vectors: np.ndarray, members: np.ndarray, ends: np.ndarray, links: np.ndarray | None = None):
+        self.ids, self.members, self.ends = ids, members, ends
+        self.graph = Graph(vectors, links)
+        self._lists = None
+
+    @classmethod
+    def built(cls, ids: list[str], vectors: np.ndarray, sets: list[np.ndarray]) -> Segment:
+        # The graph doesn't depend on the order of delivery; long links come from a random order of insertion.
+        order = np.argsort([hash_of(i) for i in ids], kind="stable")
+        ends = np.cumsum([0, *[len(sets[k]) for k in order]]).astype(np.int64)
+        members = np.concatenate([np.asarray(sets[k], np.int32) for k in order]) if len(order) else np.empty(0, np.int32)
+        return cls([ids[k] for k in order], vectors[order], members, ends)
+
+    @classmethod
+    def read(cls, row) -> Segment:
+        vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, DIMENSIONS)
+        return cls(row["ids"], vectors, np.frombuffer(row["members"], np.int32), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["links"], np.int32))
+
+    def frame(self, shard: str) -> pd.DataFrame:
+        g = self.graph
+        return pd.DataFrame({"shard": [shard], "n": [len(self.ids)], "ids": [list(self.ids)], "vectors": [g.vectors.tobytes()], "links": [g.links.tobytes()], "members": [self.members.tobytes()], "ends": [self.ends.tobytes()]})
+
+    def sets(self) -> list[np.ndarray]:
+        return [self.members[a:b] for a, b in zip(self.ends, self.ends[1:])]
+
+    def lists(self):
+        """The inverted lists: distinct members, where the list of each begins, the nodes, and each member's number."""
+        if self._lists is None:
+            distinct, number = np.unique(self.members, return_inverse=True)
+            owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.ends))
+            order = np.argsort(number, kind="stable")
+            starts = np.searchsorted(number[order], np.arange(len(distinct) + 1))
+            self._lists = distinct, starts, owner[order], number.astype(np.int32)
+        return self._lists
+
+    def _known(self, of: np.ndarray) -> np.ndarray:
+        distinct = self.lists()[0]
+        at = np.searchsorted(distinct, of)
+        at = at[at < len(distinct)]
+        return at[np.isin(distinct[at], of, assume_unique=True)]
+
+    def exact(self, of: np.ndarray, least: float) -> np.ndarray:
+        """All nodes whose similarity with the set ``of`` is ``least`` or more."""
+        _, starts, nodes, _ = self.lists()
+        known = self._known(of)
+        if not len(known):
+            return np.empty(0, np.int64)
+        both = np.bincount(np.concatenate([nodes[starts[k] : starts[k + 1]] for k in known]), minlength=len(self.ids))
+        size = np.diff(self.ends)
+        return np.flatnonzero(both >= least * (size + len(of) - both) - 1e-9)
+
+    def reranked(self, of: np.ndarray, among: np.ndarray, least: float, mark: np.ndarray) -> np.ndarray:
+        """Those of ``among`` whose similarity with ``of`` is ``least`` or more; ``mark`` is a scratch of False for each distinct member."""
+        number = self.lists()[3]
+        known = self._known(of)
+        mark[known] = True
+        a, size = self.ends[among], self.ends[among + 1] - self.ends[among]
+        places = np.repeat(a - np.cumsum(np.r_[0, size[:-1]]), size) + np.arange(size.sum())
+        both = np.bincount(np.repeat(np.arange(len(among)), size), mark[number[places]], len(among))
+        mark[known] = False
+        return among[both >= least * (size + len(of) - both) - 1e-9]
+
+    def search(self, vectors: np.ndarray, sets: list[np.ndarray], least: float) -> list[np.ndarray]:
+        """The similar nodes of every query."""
+        sample = np.arange(0, len(sets), max(1, len(sets) // SAMPLE))[:SAMPLE]
+        beam = self.graph.tuned_beam(vectors[sample], [self.exact(sets[i], least) for i in sample], widest=WIDEST)
+        if beam is None:
+            return [self.exact(s, least) for s in sets]
+        mark = np.zeros(len(self.lists()[0]), bool)
+        found: list[np.ndarray] = []
+        for at in range(0, len(sets), 4096):
+            nodes, cosines = self.graph.search(vectors[at : at + 4096], beam)
+            near = (cosines >= NEAR) & (nodes >= 0)
+            crowded = np.zeros(len(nodes), bool)
+            if nodes.shape[1] < len(self.ids):
+                # A beam with near nodes among its worst places may hide more of them, however many.
+                k = max(1, nodes.shape[1] // WORST)
+                worst = np.argpartition(cosines, k - 1, axis=1)[:, :k]
+                crowded = np.take_along_axis(near, worst, 1).any(axis=1)
+            for i in range(len(nodes)):
+                of = sets[at + i]
+                if crowded[i]:
+                    found.append(self.exact(of, least))
+                else:
+                    among = np.sort(nodes[i, near[i]]).astype(np.int64)
+                    found.append(self.reranked(of, among, least, mark) if len(among) else among)
+        return found
+
+
+#: Cosine that the vectors of sets of similarity 0.6 have, but for about one in a thousand.
+NEAR = 0.4
+#: Beams are widened to so many nodes for the sample, and are crowded if one of the worst of so many parts of their places is near.
+WIDEST, WORST = 512, 4
 
 
 def hash_of(text: str) -> int:
@@ -81,130 +176,142 @@ def hash_of(text: str) -> int:
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     vectors = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, DIMENSIONS)
-    return _row(key[0], list(pdf["node"]), vectors, pdf[["s1", "s2"]].to_numpy(np.int64))
+    return Segment.built(list(pdf["node"]), vectors, list(pdf["shingles"])).frame(key[0])
 
 
 def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, DIMENSIONS) for x in pdf["vectors"]])
-    bits = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["bits"]])
-    return _row(key[0], [i for ids in pdf["ids"] for i in ids], vectors, bits)
+    parts = [Segment.read(row) for _, row in pdf.iterrows()]
+    vectors = np.concatenate([p.graph.vectors for p in parts])
+    return Segment.built([i for p in parts for i in p.ids], vectors, [s for p in parts for s in p.sets()]).frame(key[0])
 
 
-def _search(most: int):
+def _search(least: float):
     def run(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": pd.Series([], dtype=object), "node": pd.Series([], dtype=object)})
         if not len(index) or not len(queries):
             return empty
-        row = index.iloc[0]
-        vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, DIMENSIONS)
-        bits = np.frombuffer(row["bits"], np.uint64).reshape(-1, 2)
-        graph = Graph(vectors, np.frombuffer(row["links"], np.int32))
+        segment = Segment.read(index.iloc[0])
         queries = queries.sort_values("query")
-        q = np.frombuffer(b"".join(queries["vec"]), np.float32).reshape(-1, DIMENSIONS)
-        own = queries[["s1", "s2"]].to_numpy(np.int64).view(np.uint64)
-        names, nodes = queries["query"].to_numpy(), row["ids"]
-        out_q, out_n = [], []
-        sample = np.arange(0, len(q), max(1, len(q) // SAMPLE))[:SAMPLE]
-        # What an exhaustive search finds: sketches and vectors both near, so that chance hits of either stay out.
-        true = [np.flatnonzero((np.bitwise_count(bits ^ own[i][None, :]).sum(axis=1, dtype=np.int32) <= most) & (vectors @ q[i] >= NEAR)) for i in sample]
-        beam = graph.tuned_beam(q[sample], true, widest=WIDEST)
-        # If the graph can't be searched well enough, all nodes are compared by their sketches.
-        crowded = np.full(len(q), beam is None)
-        if beam is not None:
-            ids, sims = graph.search(q, beam)
-            for at in range(0, len(q), 4096):
-                part = ids[at : at + 4096]
-                differ = np.bitwise_count(bits[np.maximum(part, 0)] ^ own[at : at + 4096][:, None, :]).sum(axis=2, dtype=np.int32)
-                hit = (differ <= most) & (part >= 0)
-                if part.shape[1] < len(nodes):
-                    # A beam with candidates among its worst places may hide more of them, however many: its query is compared with all nodes.
-                    k = max(1, part.shape[1] // WORST)
-                    worst = np.argpartition(sims[at : at + 4096], k - 1, axis=1)[:, :k]
-                    crowded[at : at + 4096] = np.take_along_axis(hit, worst, 1).any(axis=1)
-                    hit &= ~crowded[at : at + 4096, None]
-                i, k = np.nonzero(hit)
-                out_q += list(names[at + i])
-                out_n += [nodes[x] for x in part[i, k]]
-        columns = np.ascontiguousarray(bits.T)
-        for i in np.flatnonzero(crowded):
-            hit = np.flatnonzero(np.bitwise_count(columns[0] ^ own[i, 0]) + np.bitwise_count(columns[1] ^ own[i, 1]) <= most)
-            out_q += [names[i]] * len(hit)
-            out_n += [nodes[x] for x in hit]
-        return pd.DataFrame({"query": out_q, "node": out_n}) if out_q else empty
+        vectors = np.frombuffer(b"".join(queries["vec"]), np.float32).reshape(-1, DIMENSIONS)
+        found = segment.search(vectors, [np.asarray(s, np.int32) for s in queries["shingles"]], least)
+        out_q = np.repeat(queries["query"].to_numpy(), [len(f) for f in found])
+        out_n = [segment.ids[k] for f in found for k in f]
+        return pd.DataFrame({"query": out_q, "node": out_n}) if out_n else empty
 
     return run
 
 
-#: Cosine that the vectors of similar sets have, but for about one in a hundred at similarity 0.6.
-NEAR = 0.55
-#: Beams are widened to so many nodes for the sample, and are crowded if one of the worst of so many parts of their places is a candidate.
-WIDEST, WORST = 1024, 4
-
-
 class HistoryIndex:
-    """Graph shards over records. Records have node (string), shingles, s1, s2."""
-
-    def __init__(self, segment: int = SEGMENT):
-        self.segment, self.index, self.shards = segment, None, {}
-
-    def add(self, records: DataFrame, name: str, by: str | None = None) -> None:
+    """The index in ``folder``, at its latest version. Records have node (string), h1, h2, shingles."""
+
+    def __init__(self, spark: SparkSession, folder: str, segment: int = SEGMENT):
+        self.spark, self.folder, self.segment = spark, folder.rstrip("/"), segment
+        self.version = max(self._versions(), default=-1)
+
+    @classmethod
+    def temporary(cls, spark: SparkSession, segment: int = SEGMENT) -> HistoryIndex:
+        """A new index in the shared folder of the session."""
+        return cls(spark, f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", segment)
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _versions(self) -> list[int]:
+        fs, path = self._fs(f"{self.folder}/versions")
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return [int(n) for n in names if n.isdigit() and fs.exists(self._fs(f"{self.folder}/versions/{n}/_SUCCESS")[1])]
+
+    def drop(self) -> None:
+        fs, path = self._fs(self.folder)
+        fs.delete(path, True)
+
+    def manifest(self) -> DataFrame | None:
+        """(part, shard, n, number): the shards of this version, numbered from 0; None for an empty index."""
+        return None if self.version < 0 else self.spark.read.schema("part string, shard string, n bigint, number int").parquet(f"{self.folder}/versions/{self.version}")
+
+    def _parts(self, what: str, schema: str) -> DataFrame | None:
+        manifest = self.manifest()
+        if manifest is None:
+            return None
+        # One name for each append since the last compaction, and for each that was too large for it.
+        parts = sorted(r.part for r in manifest.select("part").distinct().collect())
+        if what == "keys":
+            # Keys aren't merged; all that were ever written count.
+            fs, path = self._fs(f"{self.folder}/keys")
+            parts = sorted(s.getPath().getName() for s in fs.listStatus(path))
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{what}/{p}" for p in parts]) if parts else None
+
+    def keys(self) -> DataFrame | None:
+        """(h1, h2) of all sets."""
+        return self._parts("keys", "h1 bigint, h2 bigint")
+
+    def _commit(self, manifest: DataFrame) -> None:
+        order = Window.orderBy("part", "shard")  # one row for each segment of the history
+        rows = durable(manifest.select("part", "shard", "n", (F.row_number().over(order) - 1).alias("number")))
+        rows.coalesce(1).write.parquet(f"{self.folder}/versions/{self.version + 1}")
+        self.version += 1
+
+    def _written(self, shards: DataFrame) -> DataFrame:
+        part = uuid.uuid4().hex
+        shards.write.parquet(f"{self.folder}/shards/{part}")
+        return self.spark.read.parquet(f"{self.folder}/shards/{part}").select(F.lit(part).alias("part"), "shard", "n")
+
+    def append(self, records: DataFrame, by: str | None = None) -> None:
         """Index ``records`` as one shard, or one for each value of ``by``; more than a segment becomes several shards.
 
         All graphs are built in one job, side by side.
         """
         value = F.coalesce(F.col(by).cast("string"), F.lit("none")) if by else F.lit("all")
-        sizes = {r.value: r["count"] for r in records.groupBy(value.alias("value")).count().collect()}
-        if not sizes:
+        records = records.withColumn("value", value)
+        sizes = durable(records.groupBy("value").agg(F.ceil(F.count("*") / F.lit(self.segment)).cast("bigint").alias("parts")))
+        shards = sizes.agg(F.sum("parts")).first()[0]
+        if not shards:
             return
-        parts = {v: -(-n // self.segment) for v, n in sizes.items()}
-        many = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[value]
-        shard = F.concat(F.lit(f"{name}-"), value, F.lit("/"), F.pmod(F.xxhash64("node"), many).cast("string"))
-        rows = with_vectors(records.withColumn("shard", shard).select("shard", "node", "shingles", "s1", "s2"))
-        new = durable(rows.groupBy("shard").applyInPandas(_build, INDEX))
-        self.index = new if self.index is None else self.index.union(new)
-        self.shards |= {f"{name}-{v}/{p}": sizes[v] / k for v, k in parts.items() for p in range(k)}
-        if sum(k < self.segment / 2 for k in self.shards.values()) > COMPACT_AFTER:
+        part = uuid.uuid4().hex
+        records.select("h1", "h2").write.parquet(f"{self.folder}/keys/{part}")
+        rows = records.join(sizes, "value").withColumn("shard", F.concat("value", F.lit("/"), F.pmod(F.xxhash64("node"), "parts").cast("string")))
+        rows = with_vectors(rows.select("shard", "node", "shingles"))
+        new = self._written(rows.repartition(_tasks(shards), "shard").groupBy("shard").applyInPandas(_build, SHARDS))
+        old = self.manifest()
+        self._commit(new if old is None else old.select("part", "shard", "n").union(new))
+        if self.manifest().where(F.col("n") < self.segment / 2).count() > COMPACT_AFTER:
             self.compact()
 
+    def _live(self) -> DataFrame:
+        """The shards of this version with their numbers."""
+        rows = self._parts("shards", SHARDS).withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -2))
+        return rows.join(self.manifest().select("part", "shard", "number"), ["part", "shard"])
+
     def compact(self) -> None:
         """Merge small shards into segments; large ones stay as they are."""
-        target: dict[str, str] = {}
-        size, k = 0.0, 0
-        for name, n in sorted(self.shards.items()):
-            if n < self.segment / 2:
-                if size + n > self.segment:
-                    size, k = 0.0, k + 1
-                size += n
-                target[name] = f"compacted-{len(self.shards)}/{k}"
-        if not target:
-            return
-        spelt = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])
-        small = self.index.where(F.col("shard").isin(list(target))).withColumn("shard", spelt[F.col("shard")])
-        merged = durable(small.groupBy("shard").applyInPandas(_merge, INDEX))
-        self.index = self.index.where(~F.col("shard").isin(list(target))).union(merged)
-        kept = {s: n for s, n in self.shards.items() if s not in target}
-        for s, t in target.items():
-            kept[t] = kept.get(t, 0.0) + self.shards[s]
-        self.shards = kept
-
-    def candidates(self, queries: DataFrame, threshold: float = THRESHOLD, upto=None) -> DataFrame:
-        """(query, node): indexed records whose sketch is near that of a query. ``queries`` has node, shingles, s1, s2;
-        ``upto(shard)`` gives a condition on the queries that are searched in a shard."""
-        blocks = -(-queries.count() // QUERIES) or 1
-        shards = F.array(*[F.when(upto(s), F.lit(s)) if upto else F.lit(s) for s in self.shards])
-        names = [c for c in queries.columns if c not in ("shingles",)]
-        q = with_vectors(queries.select(*names, "shingles")).withColumn("shard", F.explode(F.array_compact(shards)))
-        q = q.select("shard", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block"), F.col("node").alias("query"), "vec", "s1", "s2")
-        index = self.index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        run = _search(sketches.most_differing(threshold))
-        return index.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(run, "query string, node string").distinct()
-
-
-def similar(pairs: DataFrame, queries: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (query, node) whose sets are similar."""
-    a = queries.select(F.col("node").alias("query"), F.col("shingles").alias("sa"))
-    b = nodes.select("node", F.col("shingles").alias("sb"))
-    return pairs.join(a, "query").join(b, "node").where(sketches.similarity("sa", "sb") >= threshold).select("query", "node")
+        manifest = durable(self.manifest())
+        small = manifest.where(F.col("n") < self.segment / 2)
+        so_far = F.sum("n").over(Window.orderBy("part", "shard"))  # a row for each small shard
+        target = small.select("number", F.concat(F.lit("compacted/"), F.floor((so_far - 1) / F.lit(self.segment)).cast("string")).alias("target"))
+        rows = self._live().drop("shard").join(target, "number").select(F.col("target").alias("shard"), *[c.split()[0] for c in SHARDS.split(", ")[1:]])
+        merged = self._written(rows.groupBy("shard").applyInPandas(_merge, SHARDS))
+        self._commit(manifest.where(F.col("n") >= self.segment / 2).select("part", "shard", "n").union(merged))
+
+    def search(self, queries: DataFrame, least: float = THRESHOLD) -> DataFrame:
+        """(query, node): the indexed records whose sets are similar to those of the queries (node, shingles)."""
+        manifest = self.manifest()
+        shards, many = manifest.count(), queries.count()
+        blocks = -(-many // QUERIES) or 1
+        block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+        q = with_vectors(queries.select("node", block.alias("block"), "shingles"))
+        q = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("number"), "block", F.col("node").alias("query"), "shingles", "vec")
+        index = self._live().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        n = _tasks(shards * blocks)
+        pairs = index.repartition(n, "number", "block").groupBy("number", "block").cogroup(q.repartition(n, "number", "block").groupBy("number", "block"))
+        return pairs.applyInPandas(_search(least), "query string, node string")
+
+
+def _tasks(groups: int) -> int:
+    """Tasks for so many heavy groups: enough that few share one."""
+    return int(min(4 * groups, 20_000))
 
 
 def _node(*columns: str):
@@ -242,52 +349,53 @@ def settled(links: DataFrame, again) -> DataFrame:
         links = durable(links.union(more))
 
 
-def rejected_records(batches: DataFrame, history: list[DataFrame], threshold: float = THRESHOLD, segment: int = SEGMENT) -> DataFrame:
-    """(batch_no, rec_id) of the rejected records. ``batches`` has batch_no, rec_id, question; each history frame has question."""
+def screened(index: HistoryIndex, batches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(batch_no, rec_id) of the rejected records of ``batches`` (batch_no, rec_id, question); the others are appended to
+    ``index``, a shard for each batch."""
     rows = batches.select("batch_no", "rec_id", "question").distinct()
-    own = durable(sketches.sketched(rows, ["batch_no", "rec_id"], F.col("question")))
+    own = durable(sketches.with_sets(rows, ["batch_no", "rec_id"], F.col("question")))
+    first = own.groupBy("h1", "h2").agg(F.min(F.struct("batch_no", "rec_id")).alias("first"), F.any_value("shingles").alias("shingles"))
+    first = first.select("first.batch_no", "first.rec_id", "h1", "h2", "shingles").withColumn("node", _node("h1", "h2"))
+    remaining = first
+    if (keys := index.keys()) is not None:
+        first = durable(first.join(keys, ["h1", "h2"], "left_anti"))
+        known = index.search(first, threshold).select(F.col("query").alias("node")).distinct()
+        remaining = first.join(known, "node", "left_anti")
+    remaining = durable(remaining)
+    kept = remaining.select("node")
+    order = remaining.select("node", F.struct("batch_no", "rec_id").alias("at"))
+
+    def links(among: DataFrame) -> DataFrame:
+        """The similar records of ``among``, (query, node: the earlier one)."""
+        small = HistoryIndex.temporary(index.spark, index.segment)
+        small.append(among)
+        if small.version < 0:
+            return order.limit(0).select(F.col("node").alias("query"), "node")
+        pairs = small.search(among, threshold).where("query <> node")
+        placed = pairs.join(order.withColumnsRenamed({"node": "query", "at": "of_query"}), "query").join(order.withColumnRenamed("at", "of_node"), "node")
+        later = F.col("of_query") > F.col("of_node")
+        out = durable(placed.select(F.when(later, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(later, F.col("node")).otherwise(F.col("query")).alias("node")).distinct())
+        small.drop()
+        return out
+
+    rejected = settled(links(remaining), lambda gone: links(durable(remaining.join(gone, "node", "left_anti"))))
+    kept = durable(remaining.join(rejected, "node", "left_anti"))
+    index.append(kept, "batch_no")
+    return own.select("batch_no", "rec_id").join(kept.select("batch_no", "rec_id"), ["batch_no", "rec_id"], "left_anti").distinct()
+
+
+def history_index(spark: SparkSession, history: list[DataFrame], folder: str | None = None, segment: int = SEGMENT) -> HistoryIndex:
+    """A new index over the history frames, each with question."""
+    index = HistoryIndex(spark, folder, segment) if folder else HistoryIndex.temporary(spark, segment)
     past = None
     for h in history:
-        s = sketches.sketched(h.select(F.lit(0).alias("zero"), "question"), ["zero"], F.col("question")).select("h1", "h2", "shingles", "s1", "s2")
+        s = sketches.with_sets(h.select("question"), [], F.col("question"))
         past = s if past is None else past.union(s)
-    sets = [F.any_value(c).alias(c) for c in ("shingles", "s1", "s2")]
-    past = durable(past.groupBy("h1", "h2").agg(*sets).withColumn("node", _node("h1", "h2")))
-    first = own.groupBy("h1", "h2").agg(F.min(F.struct("batch_no", "rec_id")).alias("first"), *sets)
-    first = first.join(past.select("h1", "h2"), ["h1", "h2"], "left_anti")
-    first = durable(first.select("first.batch_no", "first.rec_id", "h1", "h2", "shingles", "s1", "s2").withColumn("node", _node("h1", "h2")))
-
-    index = HistoryIndex(segment)
-    index.add(past, "history")
-    if index.index is not None:
-        known = similar(index.candidates(first, threshold), first, past, threshold).select(F.col("query").alias("node")).distinct()
-        remaining = durable(first.join(known, "node", "left_anti"))
-    else:
-        remaining = first
-
-    # One shard per batch; a record is searched in the shards of its own batch and of earlier ones.
-    own_index = HistoryIndex(segment)
-    own_index.add(remaining, "batch", "batch_no")
-    kept = remaining.select("node")
-    if own_index.index is not None:
+    past = past.groupBy("h1", "h2").agg(F.any_value("shingles").alias("shingles"))
+    index.append(durable(past.withColumn("node", _node("h1", "h2"))))
+    return index
 
-        def upto(shard: str):
-            b = shard.split("/")[0].removeprefix("batch-")
-            return F.col("batch_no") >= int(b) if b.lstrip("-").isdigit() else F.lit(True)
 
-        order = remaining.select("node", F.struct("batch_no", "rec_id").alias("at"))
-
-        def links(index: HistoryIndex, among: DataFrame, upto=None) -> DataFrame:
-            pairs = similar(index.candidates(among, threshold, upto).where("query <> node"), among, among, threshold)
-            placed = pairs.join(order.withColumnsRenamed({"node": "query", "at": "of_query"}), "query").join(order.withColumnRenamed("at", "of_node"), "node")
-            later = F.col("of_query") > F.col("of_node")
-            return placed.select(F.when(later, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(later, F.col("node")).otherwise(F.col("query")).alias("node")).distinct()
-
-        def again(rejected: DataFrame) -> DataFrame:
-            among = durable(remaining.join(rejected, "node", "left_anti"))
-            small = HistoryIndex(segment)
-            small.add(among, "kept")
-            return links(small, among)
-
-        kept = kept.join(settled(links(own_index, remaining, upto), again), "node", "left_anti")
-    kept = remaining.join(kept, "node", "left_semi").select("batch_no", "rec_id")
-    return own.select("batch_no", "rec_id").join(kept, ["batch_no", "rec_id"], "left_anti").distinct()
+def rejected_records(batches: DataFrame, history: list[DataFrame], threshold: float = THRESHOLD, segment: int = SEGMENT) -> DataFrame:
+    """(batch_no, rec_id) of the rejected records, against a new index over the history frames."""
+    return screened(history_index(batches.sparkSession, history, None, segment), batches, threshold)

@@ -74,6 +74,43 @@ def sketched(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return source.mapInArrow(_sketches(len(keys)), f"{fields}, {SCHEMA}")
 
 
+SETS = "h1 bigint, h2 bigint, shingles array<int>"
+
+
+def shingle_set(text: str | None):
+    """(h1, h2, shingles) as in ``sketch``, without the minhashes."""
+    h = shingles(text, SHINGLE)
+    if not len(h):
+        return None
+    small = np.unique((h >> np.uint64(32)).astype(np.uint32))
+    with np.errstate(over="ignore"):
+        whole = mix(small.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
+        h1, h2 = np.array([whole.sum(dtype=np.uint64), (whole * whole).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+    return int(h1), int(h2), small.view(np.int32)
+
+
+def _sets(n_keys: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, rows = [], []
+            for i, text in enumerate(batch.column(n_keys).to_pylist()):
+                if (s := shingle_set(text)) is not None:
+                    kept.append(i)
+                    rows.append(s)
+            h1, h2, sh = zip(*rows) if rows else ((),) * 3
+            keys = [batch.column(k).take(pa.array(kept, pa.int64())) for k in range(n_keys)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(list(sh))], [*batch.schema.names[:n_keys], "h1", "h2", "shingles"])
+
+    return run
+
+
+def with_sets(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """``keys`` and the set columns of every row whose text has a shingle."""
+    source = df.select(*keys, text.alias("_text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    return source.mapInArrow(_sets(len(keys)), f"{fields}{SETS}")
+
+
 def differing_bits(a: str, b: str) -> Column:
     """Bits in which the sketches of the two aliases differ."""
     return F.expr(f"bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2)")

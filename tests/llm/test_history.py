@@ -1,7 +1,7 @@
 import random
+import shutil
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,26 +91,26 @@ def test_decided(spark):
     assert sorted(r.node for r in kept.collect()) == ["a", "c"] and sorted(r.node for r in rejected.collect()) == ["b", "d", "e"]
 
 
+def unit(v):
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
 def test_crowds():
-    # Two queries whose nearest nodes are a crowd of candidates, one of them with a single node within that is none;
-    # the node that counts lies behind the crowd.
+    # Far more similar nodes than any beam holds: the exact lists give all of them, and those of a query without a crowd.
     rng = np.random.RandomState(3)
-    unit = lambda v: (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    alone, centre = unit(rng.normal(size=(2000, 32))), unit(rng.normal(size=(2, 32)))
-    crowds = [unit(c + 0.1 * rng.normal(size=(m, 32))) for c, m in zip(centre, (4000, 200))]
-    behind = unit(centre + 0.2 * rng.normal(size=(2, 32)))
-    vectors = np.vstack([alone, *crowds, centre[1:], behind])
-    bits = rng.randint(-(1 << 62), 1 << 62, (len(vectors), 2), dtype=np.int64)
-    own = bits[:2000].copy()
-    own[[1, 3]] = bits[2000], bits[6000]
-    bits[2000:6000], bits[6000:6200], bits[6201], bits[6202] = own[1], own[3], own[1], own[3]
-    queries = alone.copy()
-    queries[[1, 3]] = centre
-    index = history._row("s", [f"n{i}" for i in range(len(vectors))], vectors, bits)
-    q = pd.DataFrame({"query": [f"q{i:04d}" for i in range(2000)], "vec": [v.tobytes() for v in queries], "s1": own[:, 0], "s2": own[:, 1]})
-    got = history._search(40)(("s", 0), index, q).groupby("query")["node"].agg(set)
-    assert got["q0001"] == {*(f"n{i}" for i in range(2000, 6000)), "n6201"}
-    assert got["q0003"] == {*(f"n{i}" for i in range(6000, 6200)), "n6202"}
+    lone = [rng.randint(0, 1 << 30, 40).astype(np.int32) for _ in range(3000)]
+    base = np.arange(40, dtype=np.int32)
+    crowd = [np.unique(np.r_[base[rng.rand(40) < 0.95], rng.randint(1 << 20, 1 << 30, 1)]).astype(np.int32) for _ in range(2000)]
+    sets = [np.unique(s) for s in lone + crowd]
+    vectors = np.stack([history.vector(s) for s in sets])
+    segment = history.Segment.built([f"n{i}" for i in range(len(sets))], vectors, sets)
+    queries = [base, sets[5], np.unique(np.r_[sets[7][:30], np.arange(90, 96, dtype=np.int32)]), np.array([-5], np.int32)] + [sets[i] for i in range(100, 400)]
+    found = segment.search(np.stack([history.vector(q) for q in queries]), queries, 0.6)
+    true = [{f"n{i}" for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= 0.6 * (len(q) + len(s) - len(np.intersect1d(q, s)))} for q in queries]
+    got = [{segment.ids[k] for k in f} for f in found]
+    assert len(true[0]) > 1900 and got[0] == true[0] and got[3] == set()
+    assert all(g <= t for g, t in zip(got, true)) and sum(map(len, got)) >= 0.99 * sum(map(len, true))
+    assert all({segment.ids[k] for k in segment.exact(q, 0.6)} == t for q, t in zip(queries, true))
 
 
 def test_links_found_late(spark, monkeypatch):
@@ -118,16 +118,58 @@ def test_links_found_late(spark, monkeypatch):
     texts = {"a": "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10", "b": "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12", "c": "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16", "d": "v1 v2 v3 v4 v5", "e": "v1 v2 v3 v4 v5 v6"}
     rows = [(1, k, t) for k, t in texts.items()]
     assert brute(rows, []) == {(1, "b"), (1, "e")}
-    searches = []
+    searches, search = [], history.HistoryIndex.search
 
-    def candidates(self, queries, threshold=history.THRESHOLD, upto=None):
+    def partly(self, queries, least=history.THRESHOLD):
         searches.append(queries.count())
+        pairs = search(self, queries, least)
         q = queries.select("node", F.size("shingles").alias("many"))
-        pairs = q.select(F.col("node").alias("query"), F.col("many").alias("of_query")).crossJoin(q.select("node", F.col("many").alias("of_node")))
+        both = pairs.join(q.withColumnRenamed("node", "query"), "query").join(q.withColumnRenamed("many", "of_node"), "node")
         # Sets of 10 and 14 members are b and c.
-        return (pairs.where("of_query in (10, 14) and of_node in (10, 14)") if len(searches) == 1 else pairs).select("query", "node")
+        return (both.where("many in (10, 14) and of_node in (10, 14)") if len(searches) == 1 else both).select("query", "node")
 
-    monkeypatch.setattr(history.HistoryIndex, "candidates", candidates)
+    monkeypatch.setattr(history.HistoryIndex, "search", partly)
     df = spark.createDataFrame([(*r, "x") for r in rows], BATCH)
     got = {(r.batch_no, r.rec_id) for r in history.rejected_records(df, [spark.createDataFrame([], "question string")]).collect()}
     assert got == {(1, "b"), (1, "e")} and searches == [5, 4, 3]
+
+
+def test_index_outlives_the_history(spark, tmp_path, monkeypatch):
+    """Batches that come later are screened by the index alone: the history's files are gone by then."""
+    monkeypatch.setattr(history, "COMPACT_AFTER", 2)
+    rows = [t for _, t in corpus(21, 500)]
+    batches = [(i // 60, f"b{i:04d}", t) for i, t in enumerate(rows[200:])]
+    true = brute(batches, rows[:200])
+    files = str(tmp_path / "history.parquet")
+    spark.createDataFrame([(t,) for t in rows[:200]], "question string").write.parquet(files)
+    folder = str(tmp_path / "index")
+    history.history_index(spark, [spark.read.parquet(files)], folder, segment=100)
+    shutil.rmtree(files)
+    got, versions = set(), []
+    for b in range(5):
+        index = history.HistoryIndex(spark, folder, segment=100)
+        versions.append(index.version)
+        df = spark.createDataFrame([(*r, "x") for r in batches if r[0] == b], BATCH)
+        got |= {(r.batch_no, r.rec_id) for r in history.screened(index, df).collect()}
+        used = {f for f in index._live().inputFiles()}
+        assert used and all("/index/" in f for f in used)
+    assert versions == sorted(versions) and versions[0] == 0 and versions[-1] > 4  # compactions are versions, too
+    index = history.HistoryIndex(spark, folder, segment=100)
+    assert index.manifest().where("shard like 'compacted%'").count() and index.manifest().agg(F.sum("n")).first()[0] == index.keys().distinct().count()
+    assert len(true & got) >= 0.98 * len(true) and len(got - true) <= 0.02 * len(true) and len(true) > 50
+
+
+def test_recall_of_every_hundredth(spark, data):
+    """Every row of the tables whose number ends in 00, against all rows, by brute force over inverted lists."""
+    base = data.replace("sf0.001", "sf0.1")
+    h = spark.read.parquet(f"{base}/puzzles.parquet").select("question").union(spark.read.parquet(f"{base}/final_records.parquet").select("question"))
+    index = history.history_index(spark, [h])
+    past = [history.sketches.shingle_set(r.question)[2] for r in h.distinct().collect() if history.sketches.shingle_set(r.question)]
+    sets = sorted({tuple(s.tolist()) for s in past})
+    everything = history.Segment([str(i) for i in range(len(sets))], np.zeros((len(sets), 32), np.float32), np.concatenate([np.array(s, np.int32) for s in sets]), np.cumsum([0, *map(len, sets)]), np.full((len(sets), history.Graph(np.zeros((1, 32))).links.shape[1]), -1, np.int32))
+    q = [(str(i), [int(x) for x in sets[i]]) for i in range(0, len(sets), 100)]
+    true = {(i, len(everything.exact(np.array(s, np.int32), 0.6))) for i, s in q}
+    df = spark.createDataFrame(q, "node string, shingles array<int>")
+    counts = {r["query"]: r["count"] for r in index.search(df).groupBy("query").count().collect()}
+    assert sum(min(counts.get(i, 0), n) for i, n in true) >= 0.95 * sum(n for _, n in true)
+    assert all(counts.get(i, 0) <= n for i, n in true)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import fixed, text
@@ -118,9 +118,10 @@ def training_report(traces: DataFrame, high: float = 0.30, medium: float = 0.10)
     errors = F.coalesce("errors", F.array().cast("array<string>"))
     calls = traces.groupBy("rule_id").agg(F.count("*").alias("calls"), F.count_if(F.size(errors) > 0).alias("failures"))
     heads = reasons(traces.withColumn("_errors", errors), "_errors", "trace_id", ["rule_id"])
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "reason")))
-    # A rule has as many rows here as there are error heads.
-    tops = heads.groupBy(F.col("rule_id").alias("_rule")).agg(F.array_join(F.transform(F.slice(order, 1, 3), lambda x: F.concat(x["reason"], F.lit("="), (-x["n"]).cast("string"))), ",").alias("top_errors"))
+    place = Window.partitionBy("rule_id").orderBy(F.desc("n"), "first", "reason")
+    three = heads.withColumn("_place", F.row_number().over(place)).where("_place <= 3")  # kept before the shuffle
+    listed = F.array_sort(F.collect_list(F.struct("_place", F.concat("reason", F.lit("="), F.col("n").cast("string")).alias("text"))))
+    tops = three.groupBy(F.col("rule_id").alias("_rule")).agg(F.array_join(F.transform(listed, lambda x: x["text"]), ",").alias("top_errors"))
     share = F.col("failures") / F.col("calls")
     out = calls.join(tops, F.col("rule_id").eqNullSafe(F.col("_rule")), "left")
     return out.select(

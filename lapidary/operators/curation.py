@@ -1,8 +1,8 @@
 """Curation of records: checks against the held-out set, first-wins deduplication, the acceptance gate, verification.
 
-No operator holds a group in one place: first occurrences come from an aggregation over (key, order) and a join, so a
-key that a third of all rows share costs one pre-aggregated row. The held-out set is joined by key; whether it is
-broadcast is left to the optimizer, which knows its size.
+No operator holds a group in one place: first occurrences come from an aggregation over (key, order) and a join that
+adaptive execution can split, so a key that a third of all rows share costs one pre-aggregated row. The held-out set is
+joined by key; whether it is broadcast is left to the optimizer, which knows its size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.functions import grids, text
+from lapidary.operators.joins import split_join
 from lapidary.session import durable
 
 
@@ -26,20 +27,20 @@ def calibration(evals: DataFrame) -> DataFrame:
 def in_heldout(records: DataFrame, evals: DataFrame, key=text.fingerprint) -> DataFrame:
     """Records whose question has the key of a held-out question (left semi join)."""
     keys = evals.where("question is not null").select(key("question").alias("_key")).distinct()
-    return records.withColumn("_key", key("question")).join(keys, "_key", "left_semi").drop("_key")
+    return records.withColumn("_key", key("question")).transform(split_join, keys, ["_key"], "left_semi").drop("_key")
 
 
 def not_in_heldout(records: DataFrame, evals: DataFrame, key=text.fingerprint) -> DataFrame:
     """The other records (left anti join); null questions stay."""
     keys = evals.where("question is not null").select(key("question").alias("_key")).distinct()
-    return records.withColumn("_key", key("question")).join(keys, "_key", "left_anti").drop("_key")
+    return records.withColumn("_key", key("question")).transform(split_join, keys, ["_key"], "left_anti").drop("_key")
 
 
 def with_first(records: DataFrame, key: Column, order: list[str], name: str = "is_first") -> DataFrame:
     """``records`` with whether a row is the first of its key by ``order`` (which must tell rows apart). A null key is always first."""
     keyed = records.withColumn("_key", key)
     first = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    joined = keyed.join(first, "_key", "left")
+    joined = split_join(keyed, first, ["_key"])
     return joined.withColumn(name, F.col("_key").isNull() | (F.struct(*order) == F.col("_first"))).drop("_key", "_first")
 
 
@@ -59,7 +60,7 @@ def gate(candidates: DataFrame, evals: DataFrame, order: list[str], answer_error
     heldout = evals.where("question is not null").select(text.fingerprint("question").alias("_print")).distinct().withColumn("_held", F.lit(True))
     bounds = calibration(evals).select("rule_id", F.col("q_len_min").alias("_least"))
     rows = candidates.withColumn("_print", text.fingerprint("question")).withColumn("_error", error)
-    rows = rows.join(heldout, "_print", "left").join(bounds, "rule_id", "left")
+    rows = split_join(split_join(rows, heldout, ["_print"]), bounds, ["rule_id"])
     failed = F.col("question").isNull() | F.col("answer").isNull()
     easy = (F.col("_least") > 0) & (F.length("question") < F.col("_least") - 200)
     before = F.array_compact(
@@ -74,7 +75,7 @@ def gate(candidates: DataFrame, evals: DataFrame, order: list[str], answer_error
     rows = rows.withColumn("_before", before).withColumn("_after", after)
     clean = (F.size("_before") == 0) & (F.size("_after") == 0)
     first = rows.where(clean).groupBy("_print").agg(F.min(F.struct(*order)).alias("_first"))
-    rows = rows.join(first, "_print", "left")
+    rows = split_join(rows, first, ["_print"])
     # A row comes after the first accepted one of its question.
     repeated = F.when(F.coalesce(F.struct(*order) > F.col("_first"), F.lit(False)) & ~failed, "duplicate_of_accepted")
     reasons = F.concat(F.col("_before"), F.array_compact(F.array(repeated)), F.col("_after"))
@@ -89,7 +90,7 @@ def structural_gate(candidates: DataFrame) -> DataFrame:
 def verification(records: DataFrame, evals: DataFrame, order: list[str], crosscheck: Column) -> DataFrame:
     """Per rule: records, well-formatted ones, those not in the held-out set, first occurrences, those that passed the cross-check."""
     keys = evals.where("question is not null").select(text.fingerprint("question").alias("_print")).distinct().withColumn("_held", F.lit(True))
-    flagged = with_first(records.withColumn("_print", text.fingerprint("question")), F.col("_print"), order, "_is_first").join(keys, "_print", "left")
+    flagged = with_first(records.withColumn("_print", text.fingerprint("question")), F.col("_print"), order, "_is_first").transform(split_join, keys, ["_print"])
     return flagged.groupBy("rule_id").agg(
         F.count("*").alias("n"),
         F.count_if(text.is_wrapped("answer")).alias("n_format"),

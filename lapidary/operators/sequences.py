@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lapidary.functions import fixed, text
 from lapidary.operators.analytics import rule_dimension
+from lapidary.operators.joins import split_join
+from lapidary.session import durable
 
 
 def last_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -33,7 +35,7 @@ def previous_batch(df: DataFrame, by: str, order: list[str], passed: Column) ->
     """``df`` with mode ``first`` or ``supplement``: whether an earlier row of ``by`` passed. Only the first passing row of a group is needed."""
     keys = F.struct(*order)
     first = df.where(passed).groupBy(by).agg(F.min(keys).alias("_first"))
-    joined = df.join(first, by, "left")
+    joined = split_join(df, first, [by])
     return joined.withColumn("mode", F.when(F.coalesce(F.col("_first") < keys, F.lit(False)), "supplement").otherwise("first")).drop("_first")
 
 
@@ -50,15 +52,18 @@ def trimmed(df: DataFrame, by: str, order: list[str], starts: Column, longest: i
 
     The tail is the last ``tail`` rows without those before its first start (all of them where none starts).
     """
-    asc = Window.partitionBy(by).orderBy(*order)
-    desc = Window.partitionBy(by).orderBy(*[F.desc(o) for o in order])
-    whole = Window.partitionBy(by)
-    rows = df.withColumn("_n", F.row_number().over(asc)).withColumn("_size", F.count("*").over(whole)).withColumn("_back", F.row_number().over(desc))
-    in_tail = F.col("_back") <= tail
-    begin = F.min(F.when(in_tail & starts, F.col("_n"))).over(whole)
-    rows = rows.withColumn("_begin", F.coalesce(begin, F.col("_size") - tail + 1))
-    keep = (F.col("_size") <= longest) | (F.col("_n") == 1) | (in_tail & (F.col("_n") >= F.col("_begin")))
-    return rows.where(keep).drop("_n", "_size", "_back", "_begin")
+    place, columns = F.struct(*order), df.columns
+    # A null is a group like any other.
+    df = df.withColumns({"_null": F.col(by).isNull(), "_by": F.coalesce(F.col(by).cast("string"), F.lit(""))})
+    groups = df.groupBy("_null", "_by").agg(F.count("*").alias("_size"), F.min(place).alias("_first"))
+    rows = split_join(df, groups, ["_null", "_by"])
+    head = rows.where((F.col("_size") <= longest) | (place == F.col("_first"))).select(*columns)
+    # Of a long conversation only the tail's rows are put side by side.
+    back = Window.partitionBy("_null", "_by").orderBy(*[F.desc(o) for o in order])
+    tails = df.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= tail)
+    tails = tails.withColumn("_from", F.max(F.when(starts, F.col("_back"))).over(Window.partitionBy("_null", "_by"))).join(groups, ["_null", "_by"])
+    kept = (F.col("_size") > longest) & (place != F.col("_first")) & (F.col("_back") <= F.coalesce("_from", F.lit(tail)))
+    return head.unionByName(tails.where(kept).select(*columns))
 
 
 def floored_sums(events: DataFrame, by: list[str], at: str, order: list[str], delta: str) -> DataFrame:
@@ -115,13 +120,32 @@ def recommendations(log: DataFrame, user: str, k: int = 3) -> DataFrame:
 
 def retry_limit(df: DataFrame, by: str, order: list[str], passed: Column, most: int) -> DataFrame:
     """``df`` with failures since the last pass and whether the group was given up before this row (``most`` failures in a row)."""
-    past = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ok = F.coalesce(passed, F.lit(False))
-    rows = df.withColumn("_passes", F.sum(ok.cast("int")).over(past))
-    run = Window.partitionBy(by, "_passes").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("retries", F.sum((~ok).cast("int")).over(run))
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("given_up", F.coalesce(F.max(F.col("retries") >= most).over(before), F.lit(False))).drop("_passes")
+    # Groups are cut along a range-partitioned sort; each part is counted by itself, and the parts of a group are then
+    # put together by what each hands on: whether a row passed, the failures before and after its passes.
+    ranged = df.withColumn("_ok", ok).repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id())
+    past = Window.partitionBy("_part", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("_part", by, "_passes").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_passes", F.sum(F.col("_ok").cast("int")).over(past))
+    local = durable(local.withColumn("_run", F.sum((~F.col("_ok")).cast("int")).over(run)))
+    lead, later = F.max(F.when(F.col("_passes") == 0, F.col("_run"))), F.max(F.when(F.col("_passes") > 0, F.col("_run")))
+    parts = local.groupBy(by, "_part").agg(F.max("_passes").alias("p"), F.coalesce(lead, F.lit(0)).alias("lead"), F.coalesce(later, F.lit(0)).alias("later"), F.max_by("_run", F.struct(*order)).alias("tail"))
+    listed = F.array_sort(F.collect_list(F.struct("_part", "p", "lead", "later", "tail")))  # as many as partitions at most
+    zero = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit(False).alias("gone"), F.array().cast("array<struct<_part:int,_carry:bigint,_gone:boolean>>").alias("out"))
+
+    def step(x: Column, d: Column) -> Column:
+        hit = (x["carry"] + d["lead"] >= most) | (d["later"] >= most)
+        carry = F.when(d["p"] > 0, d["tail"]).otherwise(x["carry"] + d["tail"])
+        out = F.concat(x["out"], F.array(F.struct(d["_part"].alias("_part"), x["carry"].alias("_carry"), x["gone"].alias("_gone"))))
+        return F.struct(carry.alias("carry"), (x["gone"] | hit).alias("gone"), out.alias("out"))
+
+    carried = parts.groupBy(by).agg(F.aggregate(listed, zero, step)["out"].alias("out")).select(by, F.inline("out"))
+    keyed = carried.withColumnRenamed(by, "_by")
+    rows = local.join(keyed, local[by].eqNullSafe(keyed["_by"]) & (local["_part"] == keyed["_part"])).drop(keyed["_part"]).drop("_by")
+    rows = rows.withColumn("retries", F.col("_run") + F.when(F.col("_passes") == 0, F.col("_carry")).otherwise(0))
+    before = Window.partitionBy("_part", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.col("_gone") | F.coalesce(F.max(F.col("retries") >= most).over(before), F.lit(False))
+    return rows.withColumn("given_up", gone).select(*df.columns, "retries", "given_up")
 
 
 __all__ = ["floored_sums", "last_rows", "live_at", "preference_deltas", "previous_batch", "profiles", "recommendations", "retry_limit", "rule_dimension", "sliding_counts", "trimmed"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lapidary.functions import fixed, grids, intents, solvers, text
 from lapidary.operators import analytics, curation, sequences
+from lapidary.operators.search import mentions
 from lapidary.sources.tables import delivered_once, table
 
 QUERIES: dict = {}
@@ -699,13 +700,13 @@ def model_intents(spark: SparkSession, base: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), n AS (SELECT DISTINCT rule_id, title FROM eval_records WHERE title IS NOT NULL) SELECT doc_id, rule_id FROM d, n WHERE contains(text, title)"
+    "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), n AS (SELECT DISTINCT rule_id, title FROM eval_records WHERE title IS NOT NULL) SELECT DISTINCT doc_id, rule_id FROM d, n WHERE contains(text, title)"
 )
 def title_mentions(spark: SparkSession, base: str) -> DataFrame:
-    """Documents that hold the title of a rule. The titles (one per rule) are looked for within each text, without a join."""
-    titles = [(r.rule_id, r.title) for r in _evals(spark, base).where("title is not null").select("rule_id", "title").distinct().limit(10_000).collect()]
-    hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), F.lit(r)) for r, t in titles]))
-    return table(spark, base, "documents").where("text is not null").select("doc_id", F.explode(hits).alias("rule_id"))
+    """Documents that hold the title of a rule."""
+    titles = _evals(spark, base).where("title is not null").select("rule_id", "title").distinct()
+    hits = mentions(table(spark, base, "documents"), "doc_id", "text", titles, "title")
+    return hits.join(titles.withColumnRenamed("title", "string"), "string").select(F.col("key").alias("doc_id"), "rule_id").distinct()
 
 
 @query()

@@ -153,3 +153,68 @@ def test_upsert_numbering_delivery(spark):
         assert [idx[i] for i in own] == [f"syn-{rule}-{n + 1}" for n in range(len(own))]
     twice = spark.createDataFrame([("a", {"k": "v"}), ("a", {"k": "v"}), ("b", None)], "id string, m map<string,string>")
     assert delivered_once(twice, "id").count() == 2
+
+
+def brute_retries(rows, most):
+    out = {}
+    for rule in {r[0] for r in rows}:
+        run, gone = 0, False
+        for _, i, ok in sorted((r for r in rows if r[0] == rule), key=lambda r: r[1]):
+            given = gone
+            run = 0 if ok else run + 1
+            gone = gone or run >= most
+            out[i] = (run, given)
+    return out
+
+
+def test_retries_over_parts(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "cold", None]), i, rng.choice([True, True, True, False, None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "rule string, id long, passed boolean")
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.id: (r.retries, r.given_up) for r in sequences.retry_limit(df, "rule", ["id"], F.col("passed"), 4).collect()}
+        assert got == brute_retries(rows, 4)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sequences.retry_limit(df.limit(0), "rule", ["id"], F.col("passed"), 4).count() == 0
+
+
+def test_trimmed_null_group(spark):
+    df = spark.createDataFrame([(None, i, "tool") for i in range(50)] + [("", i, "tool") for i in range(3)], "c string, i long, role string")
+    got = {(r.c, r.i) for r in sequences.trimmed(df, "c", ["i"], F.col("role") == "user").collect()}
+    assert got == {(None, i) for i in (0, *range(26, 50))} | {("", i) for i in range(3)}
+
+
+def test_mentions(spark):
+    from lapidary.operators.search import mentions
+
+    docs = spark.createDataFrame([(1, "the red cup and the cup"), (2, None), (3, ""), (4, "a cupboard"), (1, "the red cup and the cup")], "id long, text string")
+    names = spark.createDataFrame([("cup",), ("red cup",), ("board",), (None,), ("",), ("cup",)], "s string")
+    want = {(1, "cup"), (1, "red cup"), (1, ""), (3, ""), (4, "cup"), (4, "board"), (4, "")}
+    for chars in (1000, 6):
+        rows = [(r.key, r.string) for r in mentions(docs, "id", "text", names, "s", chars).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert mentions(docs, "id", "text", names.limit(0), "s").count() == 0
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark):
+    """A third of the rows on one key, limits lowered: the joins of first occurrences and of the gate are split."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "60KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, "the same question").otherwise(F.concat(F.lit("question "), F.col("id").cast("string")))
+        rows = spark.range(0, 60_000, 1, 8).select(F.col("id"), hot.alias("question"), F.sha2(F.col("id").cast("string"), 512).alias("answer"), F.lit("10").alias("rule_id"))
+        evals = rows.limit(200).withColumn("item_id", F.col("id"))
+        assert "skew=true" in _final_plan(curation.with_first(rows, F.col("question"), ["id"]))
+        assert "skew=true" in _final_plan(curation.gate(rows, evals, ["id"]))
+        assert "skew=true" in _final_plan(sequences.previous_batch(rows, "question", ["id"], F.col("id") % 2 == 0))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

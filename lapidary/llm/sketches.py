@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lapidary.llm.words import mix, shingles
 
 SHINGLE = 3
-COORDINATES, BITS = 32, 128
+COORDINATES, BITS = 64, 128
 _RANDOM = np.random.RandomState(20240229)
 _A = (_RANDOM.randint(0, 1 << 62, BITS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RANDOM.randint(0, 1 << 62, BITS, dtype=np.int64).astype(np.uint64)

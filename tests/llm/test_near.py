@@ -88,3 +88,36 @@ def test_sketches(share):
         b = sketches.sketch(" ".join(common + [f"b{k}_{i}" for i in range(202 - len(common))]))
         differ += sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a[4:], b[4:]))
     assert abs(differ / n / 128 - (1 - share) / 2) < 0.05 and rng
+
+
+def test_drawn_coordinates(spark):
+    """No path draws a coordinate twice, and runs begin with different ones."""
+    df = spark.range(200).select(F.xxhash64("id").alias("path"), F.pmod(F.col("id"), F.lit(6)).cast("int").alias("run"))
+    drawn = [{(r.path, r.run): {r.a, r.b} for r in df.select("path", "run", *[c.alias(n) for c, n in zip(near._drawn(F.col("path"), F.col("run"), d), "ab")]).collect()} for d in range(near.DEPTH)]
+    for key in drawn[0]:
+        assert all(len(d[key]) == 2 for d in drawn) and len(set().union(*[d[key] for d in drawn])) == 2 * near.DEPTH
+    first = {}
+    for (_, run), pair in drawn[0].items():
+        first.setdefault(run, set()).update(pair)
+    assert sum(map(len, first.values())) == len(set().union(*first.values()))
+
+
+def test_crowd_is_split_before_it_is_compared(spark, monkeypatch):
+    """Texts that share a third of their shingles fill one bucket after the first split; deeper splits part them."""
+    monkeypatch.setattr(near, "SMALL", 16)
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(f"k{i:04d}", " ".join(common + [f"x{i}_{j}" for j in range(80)])) for i in range(400)]
+    rows += [(f"l{i:04d}", rows[i][1] + " more words here") for i in range(0, 400, 4)] + [(f"o{i}", " ".join(rng.choices(common, k=30))) for i in range(100)]
+    seen = []
+    compared = near._compared
+
+    def counted(rows, bits):
+        seen.append(rows.agg(F.sum(F.ceil(F.col("n") / F.lit(16)))).first()[0] or 0)
+        return compared(rows, bits)
+
+    monkeypatch.setattr(near, "_compared", counted)
+    got = found(near.near_pairs(spark.createDataFrame(rows, SCHEMA), "id", F.col("text")))
+    true = brute(rows, 0.6)
+    assert set(got) <= true and len(true & set(got)) >= 0.98 * len(true) >= 98
+    assert len(seen) > 2

@@ -7,6 +7,8 @@ import numpy as np
 FORWARD, REVERSE, EXTRA, ENTRIES = 12, 26, 6, 24
 WIDTH = FORWARD + REVERSE + EXTRA
 BUILD_BEAM, BATCH = 32, 2048
+#: Queries that walk side by side; the nodes of four steps at most have numbers below 256.
+CHUNK = 1024
 #: A beam is wide enough when it finds this share of the nodes that an exhaustive search finds for sample queries.
 TARGET_RECALL, SAMPLE = 0.98, 500
 
@@ -114,7 +116,7 @@ class Graph:
         beam = min(beam, n)
         out_ids = np.full((len(queries), beam), -1, np.int32)
         out_sims = np.full((len(queries), beam), -2, np.float32)
-        step = int(max(16, min(1024, 60_000_000 // max(1, n))))
+        step = int(max(16, min(CHUNK, 60_000_000 // max(1, n))))
         for a in range(0, len(queries), step):
             ids, sims = self._beam(np.ascontiguousarray(queries[a : a + step], np.float32), beam, n)
             out_ids[a : a + step], out_sims[a : a + step] = ids, sims
@@ -127,7 +129,7 @@ class Graph:
         seen = np.zeros((m, n + 1), bool)
         seen[:, n] = True
         seen[:, entries] = True
-        marks = seen.reshape(-1)
+        marks, last = seen.reshape(-1), np.empty(m * (n + 1), np.uint8)
         ids = np.tile(entries, (m, 1))
         sims = q @ v[entries].T
         ids, sims = _top(ids, sims, beam)
@@ -156,13 +158,13 @@ class Graph:
             flat = near + active[:, None] * (n + 1)
             new = ~np.take(marks, flat)
             marks[flat] = True
-            # One of two equal nodes within a row is enough; the second gets no place.
-            near_sims = np.where(new, np.einsum("ijk,ik->ij", np.take(v, near, axis=0, mode="clip"), q[active]), np.float32(-2))
-            order = np.argsort(near, axis=1, kind="stable")
-            ordered = np.take_along_axis(near, order, 1)
-            twice = np.zeros(near.shape, bool)
-            np.put_along_axis(twice, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
-            near_sims[twice] = -2
+            # One of two equal nodes within a row is enough: the one whose number stays when all write to their place.
+            numbers = np.broadcast_to(np.arange(near.shape[1], dtype=np.uint8), near.shape)
+            last[flat] = numbers
+            new &= last[flat] == numbers
+            near_sims = np.full(near.shape, -2, np.float32)
+            rows, columns = np.nonzero(new)
+            near_sims[rows, columns] = np.einsum("ij,ij->i", v[near[rows, columns]], q[active[rows]])
             ids, sims2 = np.hstack([ids, near]), np.hstack([sims, near_sims])
             opened = np.hstack([opened, near_sims <= -2])
             k = min(beam, ids.shape[1])

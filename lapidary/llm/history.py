@@ -8,7 +8,7 @@ lost executor never meets half a change.
 
 A search walks the graph with a beam. For every shard and block of queries the beam is widened until it finds what an
 exact search finds for sample queries: all nodes whose sets are similar, counted over an inverted list of the shard. What
-the beam holds is reranked by the exact similarity of the sets. A query whose beam is crowded with near nodes up to its
+the beam holds is reranked by the exact similarity of the sets. A query whose beam is crowded with similar nodes up to its
 worst places, and every query of a shard that no beam serves well enough, is searched exactly over the inverted lists, so
 no beam is a cap.
 
@@ -41,7 +41,7 @@ from lapidary.session import checkpoint_folder, durable
 THRESHOLD = 0.6
 DIMENSIONS = 32
 #: Nodes of a history segment, queries that one task searches, and shards below half a segment after which they are compacted.
-SEGMENT, QUERIES, COMPACT_AFTER = 50_000, 25_000, 16
+SEGMENT, QUERIES, COMPACT_AFTER = 100_000, 12_500, 16
 
 SHARDS = "shard string, n bigint, ids array<string>, vectors binary, links binary, members binary, ends binary"
 
@@ -124,8 +124,8 @@ class Segment:
         size = np.diff(self.ends)
         return np.flatnonzero(both >= least * (size + len(of) - both) - 1e-9)
 
-    def reranked(self, of: np.ndarray, among: np.ndarray, least: float, mark: np.ndarray) -> np.ndarray:
-        """Those of ``among`` whose similarity with ``of`` is ``least`` or more; ``mark`` is a scratch of False for each distinct member."""
+    def similar(self, of: np.ndarray, among: np.ndarray, least: float, mark: np.ndarray) -> np.ndarray:
+        """Which of ``among`` have a similarity with ``of`` of ``least`` or more; ``mark`` is a scratch of False for each distinct member."""
         number = self.lists()[3]
         known = self._known(of)
         mark[known] = True
@@ -133,7 +133,7 @@ class Segment:
         places = np.repeat(a - np.cumsum(np.r_[0, size[:-1]]), size) + np.arange(size.sum())
         both = np.bincount(np.repeat(np.arange(len(among)), size), mark[number[places]], len(among))
         mark[known] = False
-        return among[both >= least * (size + len(of) - both) - 1e-9]
+        return both >= least * (size + len(of) - both) - 1e-9
 
     def search(self, vectors: np.ndarray, sets: list[np.ndarray], least: float) -> list[np.ndarray]:
         """The similar nodes of every query."""
@@ -145,26 +145,21 @@ class Segment:
         found: list[np.ndarray] = []
         for at in range(0, len(sets), 4096):
             nodes, cosines = self.graph.search(vectors[at : at + 4096], beam)
-            near = (cosines >= NEAR) & (nodes >= 0)
-            crowded = np.zeros(len(nodes), bool)
-            if nodes.shape[1] < len(self.ids):
-                # A beam with near nodes among its worst places may hide more of them, however many.
-                k = max(1, nodes.shape[1] // WORST)
-                worst = np.argpartition(cosines, k - 1, axis=1)[:, :k]
-                crowded = np.take_along_axis(near, worst, 1).any(axis=1)
+            order = np.argsort(-cosines, axis=1)
+            nodes, cosines = np.take_along_axis(nodes, order, 1), np.take_along_axis(cosines, order, 1)
+            many = ((cosines >= NEAR) & (nodes >= 0)).sum(axis=1)
             for i in range(len(nodes)):
-                of = sets[at + i]
-                if crowded[i]:
-                    found.append(self.exact(of, least))
-                else:
-                    among = np.sort(nodes[i, near[i]]).astype(np.int64)
-                    found.append(self.reranked(of, among, least, mark) if len(among) else among)
+                of, among = sets[at + i], nodes[i, : many[i]].astype(np.int64)
+                hit = self.similar(of, among, least, mark) if len(among) else np.empty(0, bool)
+                # A beam with similar nodes among its worst places may hide more of them, however many.
+                crowded = nodes.shape[1] < len(self.ids) and hit[nodes.shape[1] - max(1, nodes.shape[1] // WORST) :].any()
+                found.append(self.exact(of, least) if crowded else among[hit])
         return found
 
 
 #: Cosine that the vectors of sets of similarity 0.6 have, but for about one in a thousand.
-NEAR = 0.4
-#: Beams are widened to so many nodes for the sample, and are crowded if one of the worst of so many parts of their places is near.
+NEAR = 0.5
+#: Beams are widened to so many nodes for the sample, and are crowded if one of the worst of so many parts of their places is similar.
 WIDEST, WORST = 512, 4
 
 

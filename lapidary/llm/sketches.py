@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.words import mix, shingles
+from lapidary.llm.words import mix, shingle_hashes, shingles, word_hash, words
 
 SHINGLE = 3
 COORDINATES, BITS = 64, 128
@@ -77,29 +77,40 @@ def sketched(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
 SETS = "h1 bigint, h2 bigint, shingles array<int>"
 
 
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts that have a shingle, h1, h2, ends, members): the sets of ``sketch`` of many texts at once."""
+    numbers: list[int] = []
+    lengths = np.empty(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        w = words(text)
+        lengths[i] = len(w)
+        numbers += map(word_hash, w)
+    starts = np.cumsum(np.r_[0, lengths])
+    h = shingle_hashes(np.array(numbers, np.uint64), SHINGLE)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.maximum(lengths - SHINGLE + 1, 0))
+    inside = np.concatenate([np.arange(a, max(a, b - SHINGLE + 1)) for a, b in zip(starts, starts[1:])]) if len(texts) else np.empty(0, np.int64)
+    members = np.unique((owner << np.uint64(32)) | (h[inside.astype(np.int64)] >> np.uint64(32)))
+    owner, members = (members >> np.uint64(32)).astype(np.int64), members & np.uint64(0xFFFFFFFF)
+    kept, first = np.unique(owner, return_index=True)
+    with np.errstate(over="ignore"):
+        whole = mix(members * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
+        h1, h2 = (np.add.reduceat(x, first) if len(first) else np.empty(0, np.uint64) for x in (whole, whole * whole))
+    return kept, h1.view(np.int64), h2.view(np.int64), np.r_[first, len(members)].astype(np.int32), members.astype(np.uint32).view(np.int32)
+
+
 def shingle_set(text: str | None):
     """(h1, h2, shingles) as in ``sketch``, without the minhashes."""
-    h = shingles(text, SHINGLE)
-    if not len(h):
-        return None
-    small = np.unique((h >> np.uint64(32)).astype(np.uint32))
-    with np.errstate(over="ignore"):
-        whole = mix(small.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
-        h1, h2 = np.array([whole.sum(dtype=np.uint64), (whole * whole).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-    return int(h1), int(h2), small.view(np.int32)
+    kept, h1, h2, _, members = shingle_sets([text])
+    return (int(h1[0]), int(h2[0]), members) if len(kept) else None
 
 
 def _sets(n_keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, rows = [], []
-            for i, text in enumerate(batch.column(n_keys).to_pylist()):
-                if (s := shingle_set(text)) is not None:
-                    kept.append(i)
-                    rows.append(s)
-            h1, h2, sh = zip(*rows) if rows else ((),) * 3
+            kept, h1, h2, ends, members = shingle_sets(batch.column(n_keys).to_pylist())
             keys = [batch.column(k).take(pa.array(kept, pa.int64())) for k in range(n_keys)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(list(sh))], [*batch.schema.names[:n_keys], "h1", "h2", "shingles"])
+            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(members, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), sets], [*batch.schema.names[:n_keys], "h1", "h2", "shingles"])
 
     return run
 

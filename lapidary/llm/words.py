@@ -36,25 +36,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, k: int = 3) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of ``k`` consecutive words; empty for shorter texts."""
-    w = words(text)
-    n = len(w) - k + 1
+def word_hash(word: str) -> int:
+    h = _SEEN.get(word)
+    if h is None:
+        if len(_SEEN) > _SEEN_MAX:
+            _SEEN.clear()
+        h = _SEEN[word] = xxhash.xxh64_intdigest(word)
+    return h
+
+
+def shingle_hashes(numbers: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` consecutive word hashes."""
+    n = len(numbers) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    if len(_SEEN) > _SEEN_MAX:
-        _SEEN.clear()
-    out = np.empty(len(w), np.uint64)
-    for i, x in enumerate(w):
-        h = _SEEN.get(x)
-        if h is None:
-            h = _SEEN[x] = xxhash.xxh64_intdigest(x)
-        out[i] = h
     h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            h = mix(h * _M1 + out[j : j + n] * _M2 + _M3)
-    return np.unique(h)
+            h = mix(h * _M1 + numbers[j : j + n] * _M2 + _M3)
+    return h
+
+
+def shingles(text: str | None, k: int = 3) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all runs of ``k`` consecutive words; empty for shorter texts."""
+    return np.unique(shingle_hashes(np.array([word_hash(w) for w in words(text)], np.uint64), k))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

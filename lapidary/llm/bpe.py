@@ -151,11 +151,21 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
+_TABLES: dict[tuple[str, str], PerfectHash] = {}
+_SENT: dict[tuple[str, str, str], object] = {}
+
+
 class Shared:
-    """The table of the vocabulary, made once on the driver (its size is that of the vocabulary file) and sent to all workers."""
+    """The table of the vocabulary, made once on the driver (its size is that of the vocabulary file) and sent to all workers once a session."""
 
     def __init__(self, spark, folder: str = TOKENIZERS, name: str = VOCABULARY):
-        self.broadcast = spark.sparkContext.broadcast(PerfectHash(read_ranks(folder, name)))
+        key = (spark.sparkContext.applicationId, folder, name)
+        if key not in _SENT:
+            if key[1:] not in _TABLES:
+                _TABLES[key[1:]] = PerfectHash(read_ranks(folder, name))
+            _SENT.clear()
+            _SENT[key] = spark.sparkContext.broadcast(_TABLES[key[1:]])
+        self.broadcast = _SENT[key]
         self.id = self.broadcast._jbroadcast.id()
 
     def encoder(self) -> Encoder:

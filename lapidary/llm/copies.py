@@ -2,8 +2,8 @@
 
 Every field name and value pair is normalised (letters and digits only, lower case), hashed, and the hashes of a
 record are summed, so the order of fields doesn't matter. Records are grouped by that fingerprint; each is then
-compared field by field with the kept record of its group. Records that only share the fingerprint (a collision) are
-grouped anew by their exact fields.
+compared field by field, by lookup, with the kept record of its group. Records that only share the fingerprint (a
+collision) are grouped anew by the fingerprint under another seed, and compared again, until none is left.
 
 Null values take no part (a null question is no record); texts without any letter or digit are equal to each other.
 Repeated deliveries of a key count as one record. Lines that aren't one JSON value take no part.
@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapidary.operators.joins import split_join
+from lapidary.session import durable
+
 _NOT_KEPT = re.compile(r"[\W_]+")
 _HALF = 0xFFFFFFFF
 
@@ -33,13 +36,18 @@ def _flatten(value, path: str, out: dict[str, str]) -> None:
         out[path + "{"] = ""
         for k, v in value.items():
             _flatten(v, f"{path}/{json.dumps(k, ensure_ascii=False)}", out)
-    elif isinstance(value, list) and any(isinstance(v, dict) for v in value):
+    elif isinstance(value, list) and _holds_object(value):
         for i, v in enumerate(value):
             _flatten(v, f"{path}[{i}]", out)
     else:
         out[path] = _NOT_KEPT.sub("", _text(value).lower())
 
 
+def _holds_object(value) -> bool:
+    """Whether an object stands in a list, however deep."""
+    return isinstance(value, dict) or isinstance(value, list) and any(map(_holds_object, value))
+
+
 def _text(value) -> str:
     if isinstance(value, list):
         return "".join(map(_text, value))
@@ -79,9 +87,9 @@ def text_fields(df: DataFrame, key: str, *names: str) -> DataFrame:
     return df.dropna(subset=list(names)).select(F.col(key).cast("string").alias("rec_key"), F.create_map(*pairs).alias("fields"))
 
 
-def fingerprint(fields: Column) -> Column:
+def fingerprint(fields: Column, seed: int = 0) -> Column:
     """Sum of the pair hashes of a map, in two halves of 32 bits each so that no sum of a long overflows."""
-    hashes = F.transform(F.map_entries(fields), lambda e: F.xxhash64(e["key"], e["value"]))
+    hashes = F.transform(F.map_entries(fields), lambda e: F.xxhash64(F.lit(seed), e["key"], e["value"]))
     low = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a + h.bitwiseAND(F.lit(_HALF)))
     high = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a + F.shiftrightunsigned(h, 32))
     return F.struct(low.alias("low"), high.alias("high"))
@@ -99,42 +107,47 @@ def classes(records: DataFrame, *within: str) -> DataFrame:
     pre-aggregated to one row per fingerprint before they are shuffled, and the one kept row of each group is joined
     back, so no group is held in one place; a hot fingerprint's rows are split by the adaptive skew join.
     """
-    by = [*within, "fp"]
-    rows = records.select(*within, "rec_key", "fields", fingerprint(F.col("fields")).alias("fp"))
-    kept = rows.groupBy(*by).agg(F.min("rec_key").alias("kept_key"), F.max("rec_key").alias("last"), F.min_by("fields", "rec_key").alias("kept_fields"))
-    kept = kept.where("kept_key < last").drop("last")
-    pairs = rows.join(kept, by).where(F.col("rec_key") > F.col("kept_key"))
-    pairs = pairs.withColumn("same", same_fields(F.col("fields"), F.col("kept_fields")))
-    good = pairs.where("same").select(*within, "kept_key", F.col("rec_key").alias("copy_key"))
-    # Two different records with one fingerprint: settled by their whole fields.
-    odd = pairs.where("not same").select(*within, "fp", "rec_key", F.to_json(F.array_sort(F.map_entries("fields"))).alias("whole"))
-    first = odd.groupBy(*by, "whole").agg(F.min("rec_key").alias("kept_key"))
-    rest = odd.join(first, [*by, "whole"]).where(F.col("rec_key") > F.col("kept_key")).select(*within, "kept_key", F.col("rec_key").alias("copy_key"))
-    return good.union(rest).distinct()
+    out, seed = None, 0
+    rows = records.select(*within, "rec_key", "fields", F.array(F.lit(0).cast("bigint")).alias("path"))
+    while True:
+        # The path holds the fingerprints that a record's group already shared.
+        fp = fingerprint(F.col("fields"), seed)
+        rows = rows.withColumn("path", F.concat("path", F.array(fp["low"], fp["high"])))
+        by = [*within, "path"]
+        kept = rows.groupBy(*by).agg(F.min("rec_key").alias("kept_key"), F.max("rec_key").alias("last"), F.min_by("fields", "rec_key").alias("kept_fields"))
+        kept = kept.where("kept_key < last").drop("last")
+        pairs = split_join(rows, kept, by, "inner").where(F.col("rec_key") > F.col("kept_key"))
+        same = same_fields(F.col("fields"), F.col("kept_fields"))
+        # Written once, the fields only of records that aren't copies after all.
+        pairs = durable(pairs.select(*by, "kept_key", "rec_key", same.alias("same"), F.when(~same, F.col("fields")).alias("fields")))
+        good = pairs.where("same").select(*within, "kept_key", F.col("rec_key").alias("copy_key"))
+        out = good if out is None else out.union(good)
+        rows, seed = pairs.where("not same").select(*within, "rec_key", "fields", "path"), seed + 1
+        if rows.isEmpty():
+            return out.distinct()
+
+
+def records_of(puzzles: DataFrame, final_records: DataFrame, raw_records: DataFrame | None = None) -> DataFrame:
+    """(tab, rec_key, fields) of the tables."""
+    parts = [("puzzles", text_fields(puzzles, "id", "question")), ("final_records", text_fields(final_records, "idx", "question"))]
+    if raw_records is not None:
+        parts.append(("raw_records", parsed_lines(raw_records, "raw_id", "line")))
+    records = None
+    for tab, part in parts:
+        named = part.select(F.lit(tab).alias("tab"), "rec_key", "fields")
+        records = named if records is None else records.union(named)
+    return records
 
 
 def copies(puzzles: DataFrame, final_records: DataFrame, raw_records: DataFrame) -> DataFrame:
     """Cases (tab, kept_key, copy_key) of the three tables."""
-    parts = [
-        ("puzzles", text_fields(puzzles, "id", "question")),
-        ("final_records", text_fields(final_records, "idx", "question")),
-        ("raw_records", parsed_lines(raw_records, "raw_id", "line")),
-    ]
-    return parts_union([p.select(F.lit(tab).alias("tab"), "rec_key", "fields") for tab, p in parts])
-
-
-def parts_union(parts: list[DataFrame]) -> DataFrame:
-    records = parts[0]
-    for p in parts[1:]:
-        records = records.union(p)
-    return classes(records, "tab")
-
-
-def collapsed(df: DataFrame, key: str, *names: str) -> DataFrame:
-    """One row per class of copies: kept_key and n_copies (records of the class, repeated deliveries counted once)."""
-    rows = text_fields(df, key, *names)
-    distinct = rows.groupBy("rec_key").agg(F.any_value("fields").alias("fields"))
-    pairs = classes(distinct).groupBy("kept_key").agg((F.count("*") + 1).alias("n"))
-    gone = classes(distinct).select(F.col("copy_key").alias("rec_key"))
-    kept = distinct.select("rec_key").join(gone, "rec_key", "left_anti")
-    return kept.join(pairs, kept.rec_key == pairs.kept_key, "left").select(kept.rec_key.alias("kept_key"), F.coalesce("n", F.lit(1)).cast("bigint").alias("n_copies"))
+    return classes(records_of(puzzles, final_records, raw_records), "tab")
+
+
+def collapsed(records: DataFrame, *within: str) -> DataFrame:
+    """One row per class of copies: ``within``, kept_key and n_copies (records of the class, repeated deliveries counted once)."""
+    copies_ = durable(classes(records, *within))
+    counted = copies_.groupBy(*within, "kept_key").agg((F.count("*") + 1).alias("n"))
+    kept = records.select(*within, F.col("rec_key").alias("kept_key")).distinct()
+    kept = kept.join(copies_.select(*within, F.col("copy_key").alias("kept_key")), [*within, "kept_key"], "left_anti")
+    return kept.join(counted, [*within, "kept_key"], "left").select(*within, "kept_key", F.coalesce("n", F.lit(1)).cast("bigint").alias("n_copies"))

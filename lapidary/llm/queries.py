@@ -18,7 +18,11 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_collapsed(spark: SparkSession, base: str) -> DataFrame:
-    return copies.collapsed(table(spark, base, "puzzles"), "id", "question")
+    return copies.collapsed(copies.records_of(table(spark, base, "puzzles"), table(spark, base, "final_records")), "tab")
+
+
+def p2_collapsed_lines(spark: SparkSession, base: str) -> DataFrame:
+    return copies.collapsed(copies.parsed_lines(table(spark, base, "raw_records"), "raw_id", "line"))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -65,13 +69,13 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return sentences.split_documents(table(spark, base, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_rates, p7_found, p8_ids, p9_windows, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_collapsed, p2_collapsed_lines, p3_found, p4_found, p4_groups, p5_found, p6_found, p6_rates, p7_found, p8_ids, p9_windows, p10_found)}
 
 ORACLE = {
     "p2_collapsed": """
-        WITH k AS (SELECT DISTINCT id, regexp_replace(lower(question), '[^\\p{L}\\p{N}]+', '', 'g') AS norm
-                   FROM puzzles WHERE question IS NOT NULL)
-        SELECT min(id) AS kept_key, count(*) AS n_copies FROM k GROUP BY norm""",
+        WITH k AS (SELECT 'puzzles' AS tab, id AS rec_key, question FROM puzzles UNION ALL SELECT 'final_records', idx, question FROM final_records),
+             n AS (SELECT DISTINCT tab, rec_key, regexp_replace(lower(question), '[^\\p{L}\\p{N}]+', '', 'g') AS norm FROM k WHERE question IS NOT NULL)
+        SELECT tab, min(rec_key) AS kept_key, count(*) AS n_copies FROM n GROUP BY tab, norm""",
     "p5_found": """
         WITH d AS (SELECT DISTINCT rule_id, strftime(created_at, '%Y-%m-%d') AS created_day, reviewer_score, created_at, id
                    FROM puzzles WHERE rule_id IS NOT NULL AND created_at IS NOT NULL

@@ -104,7 +104,7 @@ def test_crowds():
     sets = [np.unique(s) for s in lone + crowd]
     vectors = np.stack([history.vector(s) for s in sets])
     segment = history.Segment.built([f"n{i}" for i in range(len(sets))], vectors, sets)
-    queries = [base, sets[5], np.unique(np.r_[sets[7][:30], np.arange(90, 96, dtype=np.int32)]), np.array([-5], np.int32)] + [sets[i] for i in range(100, 400)]
+    queries = [base, sets[5], np.unique(np.r_[sets[7][:30], np.arange(90, 96, dtype=np.int32)]), np.array([-5], np.int32)] + [sets[i] for i in range(100, 116)]
     found = segment.search(np.stack([history.vector(q) for q in queries]), queries, 0.6)
     true = [{f"n{i}" for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= 0.6 * (len(q) + len(s) - len(np.intersect1d(q, s)))} for q in queries]
     got = [{segment.ids[k] for k in f} for f in found]
@@ -153,8 +153,8 @@ def test_index_outlives_the_history(spark, tmp_path, monkeypatch):
         got |= {(r.batch_no, r.rec_id) for r in history.screened(index, df).collect()}
         used = {f for f in index._live().inputFiles()}
         assert used and all("/index/" in f for f in used)
-    assert versions == sorted(versions) and versions[0] == 0 and versions[-1] > 2  # compactions are versions, too
     index = history.HistoryIndex(spark, folder, segment=100)
+    assert versions == sorted(versions) and versions[0] == 0 and index.version > 3  # compactions are versions, too
     assert index.manifest().where("shard like 'compacted%'").count() and index.manifest().agg(F.sum("n")).first()[0] == index.keys().distinct().count()
     assert len(true & got) >= 0.98 * len(true) and len(got - true) <= 0.02 * len(true) and len(true) > 30
 

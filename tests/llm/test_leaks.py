@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lapidary.llm import leaks
 from lapidary.llm.words import shingles, words
@@ -54,10 +56,35 @@ def test_frames(spark):
     assert leaks.leaks(docs, finals, evals.limit(0)).count() == 0
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "MAX_BROADCAST_CHARS", 200)
+def test_blocks(spark):
     passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(10)]
-    evals = spark.createDataFrame([(k, p, None) for k, p in enumerate(passages)], "item_id long, question string, answer string")
-    docs = spark.createDataFrame([(k, p) for k, p in enumerate(passages)], "doc_id long, text string")
-    got = {(int(r.rec_key), r.item_id) for r in leaks.leaked_items(docs, "doc_id", ["text"], evals).collect()}
+    evals = spark.createDataFrame([(k, p, None) for k, p in enumerate(passages)] + [(10, "x " * 500, None)], "item_id long, question string, answer string")
+    docs = spark.createDataFrame([("d", str(k), p) for k, p in enumerate(passages)], "tab string, rec_key string, text string")
+    got = {(int(r.rec_key), r.item_id) for r in leaks.leaked_items(docs, evals, 200).collect()}
     assert got == {(k, k) for k in range(10)}
+    rows, blocks = leaks._blocks(evals, 200)
+    sizes = {r.block: (r.chars, r.items) for r in rows.groupBy("block").agg(F.sum(F.length("question")).alias("chars"), F.count("*").alias("items")).collect()}
+    assert blocks > 2 and all(chars <= 200 or items == 1 for chars, items in sizes.values())
+
+
+def test_memory_of_the_tables():
+    """Under 60 bytes a character would be held for 1.6 million characters in 100 MB; offsets need far less."""
+    rng = random.Random(2)
+    vocab = [f"word{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(vocab, k=200))) for i in range(800)]
+    chars = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    table = leaks.WuManber(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held <= 30 * 2**20 + 12 * chars
+    # At the stated bound that is less than a quarter of a gigabyte.
+    assert 30 * 2**20 + 12 * leaks.MAX_BROADCAST_CHARS < 2**28
+    assert table.find(items[7][1]) == {7}
+
+
+def test_one_passage_of_many_items():
+    passage = " ".join(f"w{i}" for i in range(15))
+    table = leaks.WuManber([(i, passage + f" own{i}") for i in range(3000)])
+    assert table.find("x " + passage) == set(range(3000)) and len(table.end) < 3000 * 4 + 20
+    assert leaks.WuManber([]).find(passage) == set() and leaks.WuManber([(1, passage)]).find("") == set()

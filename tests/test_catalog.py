@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lapidary.plans import selections, streams  # noqa: F401
+from lapidary.plans import reports, selections, streams  # noqa: F401
 from lapidary.plans.catalog import ORACLE, QUERIES
 
 

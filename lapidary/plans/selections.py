@@ -56,12 +56,12 @@ def _s_any(x: str, words) -> str:
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL AND kind = 'review_note')
+    f"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, CASE WHEN {_s_any('t', ['难一点', '困难', '复杂', 'hard'])} THEN 'hard' WHEN {_s_any('t', ['简单', '容易', '短一点', 'easy'])} THEN 'easy' WHEN {_s_any('t', ['中等', '普通', 'medium'])} THEN 'medium' END AS difficulty,
     {_s_any('t', ['数学', '计算', '24点', 'math'])} AS math, {_s_any('t', ['字谜', '词', '文字', 'word'])} AS word FROM d"""
 )
 def feedback_levels(spark: SparkSession, base: str) -> DataFrame:
-    d = table(spark, base, "documents").where("text is not null and kind = 'review_note'").select("doc_id", selection.feedback("text").alias("f"))
+    d = table(spark, base, "documents").where("text is not null").select("doc_id", selection.feedback("text").alias("f"))
     says = lambda k: F.exists("f.changes", lambda x: (x["kind"] == "tag") & (x["key"] == k) & (x["delta"] == 2))
     return d.select("doc_id", "f.difficulty", says("math").alias("math"), says("word").alias("word"))
 

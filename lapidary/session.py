@@ -27,12 +27,15 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set (tests on one machine)."""
+    """The shared folder of the session. Where none is set, a temporary one on a local master (tests); on a cluster that is an error,
+    as a folder of one machine is lost with it."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lapidary-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -49,3 +49,36 @@ def test_config(tmp_path, monkeypatch):
     assert (c.rules, c.seed, c.items_per_rule, c.max_retries) == (["1"], 5, 7, 3)
     assert config.active_version(None, "builtin", None, None) == "builtin" and config.active_version(None, "v", "f", "p") == "v"
     assert config.active_version("e", "v", "f", "p") == "e" and config.active_version(None, "builtin", None, "p") == "p"
+
+
+def test_sinks(spark, tmp_path):
+    from lapidary.sources import sinks
+
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("s", "1", True, ["a"], 5), ("s", None, None, None, None)], "session_id string, rule_id string, passed boolean, errors array<string>, latency_ms int")
+    sinks.append_log(rows, path)
+    sinks.append_log(rows.limit(1), path)
+    got = sorted((r.passed, r.errors, r.latency_ms) for r in spark.read.parquet(path).collect())
+    assert got == [(0, "[]", 0), (1, '["a"]', 5), (1, '["a"]', 5)]
+    runs = str(tmp_path / "runs")
+    for run, n in (("r1", 3), ("r2", 2), ("r1", 1)):
+        sinks.write_run(spark.range(1), spark.range(n), runs, run)
+    assert {(r.run_id, r["count"]) for r in sinks.read_runs(spark, runs).groupBy("run_id").count().collect()} == {("r1", 1), ("r2", 2)}
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lapidary.session import checkpoint_folder
+
+    class Conf:
+        @staticmethod
+        def get(*_):
+            return None
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: Conf, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        checkpoint_folder(SimpleNamespace(sparkContext=sc, conf=Conf))

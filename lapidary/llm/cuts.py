@@ -159,15 +159,16 @@ def judge(text: str | None) -> tuple[int, str, str, list[str], int]:
     tail = tail_of(text)
     if tail is None:
         return CUT, "", "", [], 0
-    core, start = tail.rstrip(), len(text) - len(tail)
+    start, stop = len(text) - len(tail), len(tail)
     # Whatever was put after the text, but for sentence marks.
-    while core and not core[-1].isalnum() and core[-1] not in TERMINAL:
-        core = core[:-1]
-    if not _ALNUM.search(core):
+    while stop and not tail[stop - 1].isalnum() and tail[stop - 1] not in TERMINAL:
+        stop -= 1
+    if not _ALNUM.search(tail, 0, stop):
         return WHOLE, "", "", [], 0
-    ended = core[-1] in TERMINAL and not _ELLIPSIS.search(core)
-    while core and not core[-1].isalnum():
-        core = core[:-1]
+    ended = tail[stop - 1] in TERMINAL and not _ELLIPSIS.search(tail[max(0, stop - 3) : stop])
+    while not tail[stop - 1].isalnum():
+        stop -= 1
+    core = tail[:stop]
     if not ended and _THAI.search(tail):
         return WHOLE, "", "", [], 0
     if not ended and _HAN.search(core) and len(_TOKEN.findall(core)) < 5 and not re.search(r"[，、；：,;:\d]", core):

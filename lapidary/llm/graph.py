@@ -10,7 +10,7 @@ BUILD_BEAM, BATCH = 32, 2048
 #: Queries that walk side by side; the nodes of four steps at most have numbers below 256.
 CHUNK = 1024
 #: A beam is wide enough when it finds this share of the nodes that an exhaustive search finds for sample queries.
-TARGET_RECALL, SAMPLE = 0.98, 500
+TARGET_RECALL, SAMPLE = 0.99, 1500
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ class Graph:
             ids, sims, opened = (np.take_along_axis(x, at, 1) for x in (ids, sims2, opened))
         return np.where(full_sims > -2, full_ids, -1), full_sims
 
-    def tuned_beam(self, queries: np.ndarray, true: list[np.ndarray], start: int = 32, widest: int = 1024) -> int | None:
+    def tuned_beam(self, queries: np.ndarray, true: list[np.ndarray], start: int = 48, widest: int = 1024) -> int | None:
         """The narrowest beam, widened by halves from ``start``, that finds TARGET_RECALL of the nodes ``true`` that an
         exhaustive search found for the sample ``queries``; None if even the widest one doesn't."""
         n = len(self.vectors)

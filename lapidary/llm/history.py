@@ -41,7 +41,7 @@ from lapidary.session import checkpoint_folder, durable
 THRESHOLD = 0.6
 DIMENSIONS = 32
 #: Nodes of a history segment, queries that one task searches, and shards below half a segment after which they are compacted.
-SEGMENT, QUERIES, COMPACT_AFTER = 100_000, 12_500, 16
+SEGMENT, QUERIES, COMPACT_AFTER = 50_000, 12_500, 16
 
 SHARDS = "shard string, n bigint, ids array<string>, vectors binary, links binary, members binary, ends binary"
 

@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "«": "»", "‹": "›", "„": "“”", "“": "”", "‘": "’"}
 _CLOSE = {c: o for o, cs in PAIRS.items() for c in cs if c not in "“’"}
 
+_OPENED_BY = {c: "".join(o for o, cs in PAIRS.items() if c in cs) for cs in PAIRS.values() for c in cs}
+
 _BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 _MARKS = ".!?。！？।॥｡．‼⁇…"
 #: Marks that end a sentence wherever a capital or a script without case follows.
@@ -48,8 +50,10 @@ _SPECIAL = re.compile("[" + re.escape("".join(PAIRS) + "".join(_CLOSE) + '”’
 _THAI = re.compile("[฀-๿]")
 _WORD = re.compile(r"[^\W_]")
 _TOKENS = re.compile(r"\S+")
-_LEFT_WORD = re.compile(r"[^\s(\[{\"“„«‘「『（—]*$")
-_RIGHT_WORD = re.compile(r"[^\w]*?((?:\w|(?<=\w)['’.](?=\w))+\.?)")
+_NOT_IN_WORD = set(" \t\r\n([{\"“„«‘「『（—")
+#: A run of more characters is no word: the last ones stand for it before a mark, the first ones after it.
+LONGEST_WORD = 64
+_RIGHT_WORD = re.compile(r"[^\w]{0,16}?((?:\w|(?<=\w)['’.](?=\w)){1,64}\.?)")
 _OPENERS = "\"'“”„«»‘’¿¡([{-–—*>•「『《（"
 
 #: Documents of the sample on which the model is fitted, and the longest text in it.
@@ -74,30 +78,30 @@ _SEEN_MAX = 300_000
 def pairs_of(unit: str, specials: list) -> list[tuple[int, int]]:
     """(open, close) of the outermost quotes and brackets, in order. Marks that find no partner within the unit count as ordinary characters."""
     stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}  # how many of each opening mark are on the stack
     out: list[tuple[int, int]] = []
 
-    def close(k: int, i: int) -> None:
-        opened = stack[k][1]
-        del stack[k:]
+    def close(openers: str, i: int) -> None:
+        while True:
+            c, opened = stack.pop()
+            held[c] -= 1
+            if c in openers:
+                break
         while out and out[-1][0] > opened:
             out.pop()
         out.append((opened, i))
 
     for m in specials:
         c, i = m.group(), m.start()
-        if c == '"':
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), -1)
-            if at >= 0:
-                close(at, i)
-            else:
-                stack.append((c, i))
-        elif c == "“" and any(o == "„" for o, _ in stack) or c == "”" or c in _CLOSE:
-            for k in range(len(stack) - 1, -1, -1):
-                if c in PAIRS.get(stack[k][0], ""):
-                    close(k, i)
-                    break
-        elif c in PAIRS and c != "‘":
+        if c == '"' and held.get(c):
+            close(c, i)
+        elif c == "“" and held.get("„") or c == "”" or c in _CLOSE:
+            openers = "".join(o for o in _OPENED_BY[c] if held.get(o))
+            if openers:
+                close(openers, i)
+        elif c == '"' or c in PAIRS and c != "‘":
             stack.append((c, i))
+            held[c] = held.get(c, 0) + 1
     return out
 
 
@@ -207,12 +211,13 @@ def places(unit: str) -> list[Place]:
     for end, i, mark, quote in found:
         k = bisect_left(starts, i)  # tokens before the mark: k - 1 is that which holds it
         a = starts[k - 1] if k else 0
-        token = _LEFT_WORD.search(unit, a, i).group() if k else ""
         left_char = unit[i - 1] if i else ""
         script = _script(left_char) if left_char else "-"
-        if script in "hkt":
-            token = token[-2:]
-        previous = unit[starts[k - 2] : tokens[k - 2][1]] if k > 1 else ""
+        at, least = i, max(a, i - (2 if script in "hkt" else LONGEST_WORD)) if k else i
+        while at > least and unit[at - 1] not in _NOT_IN_WORD and not unit[at - 1].isspace():
+            at -= 1
+        token = unit[at:i]
+        previous = unit[max(starts[k - 2], tokens[k - 2][1] - LONGEST_WORD) : tokens[k - 2][1]] if k > 1 else ""
         r = bisect_right(starts, end)
         if end < n and not unit[end].isspace():
             gap, at = "n", end

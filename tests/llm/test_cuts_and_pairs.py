@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -37,6 +38,13 @@ def test_structures():
     assert cuts.judge("[[1]] " * 150_000 + "[[2")[0] == cuts.CUT and cuts.judge("[[1]] " * 150_000)[0] == cuts.WHOLE
 
 
+def test_very_long_texts():
+    began = time.perf_counter()
+    for text in ("-" * 300_000, "a " + "-" * 300_000, "a." * 150_000, "x y " * 100_000 + "…" * 100_000, "([{" * 60_000 + "a", "{" * 100_000):
+        cuts.judge(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_prose_against_lists(spark):
     rows = corpus(80) + [("t", f"w{i}", t) for i, t in enumerate(WHOLE)] + [("t", f"c{i}", t) for i, t in enumerate(CUT + PROSE_CUT)]
     assert found(spark, rows) == {f"c{i}" for i in range(len(CUT + PROSE_CUT))}

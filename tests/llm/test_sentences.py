@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -136,6 +137,14 @@ def test_edges(model):
     assert len(s.sentences(long, model)) == 20_000
 
 
+def test_hard_texts(model):
+    began = time.perf_counter()
+    for text in ("w." * 50_000, "([{" * 30_000 + "]" * 30_000, "（" * 50_000 + "」。" * 50_000, "字。" * 50_000, "“" * 50_000 + "a. " * 1000, '"' * 99_999, "字" * 100_000 + "（好。" * 5000, "ก " * 30_000):
+        spans = s.sentences(text, model)
+        assert all(a < b for a, b in spans)
+    assert time.perf_counter() - began < 40
+
+
 def test_offsets_cover_the_text(model):
     rng = random.Random(9)
     for _ in range(300):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lapidary.functions import fixed, grids, intents, solvers, text
 from lapidary.operators import analytics, curation, sequences
+from lapidary.operators.joins import split_join
 from lapidary.operators.search import mentions
 from lapidary.sources.tables import delivered_once, table
 
@@ -322,13 +323,16 @@ def s_plain(x: str) -> str:
 
 
 @query(
-    f"""WITH {P}, {R}, j AS (SELECT id, idx, p.answer AS a, r.answer AS b FROM p JOIN r ON {s_print('p.question')} = {s_print('r.question')})
-    SELECT id, idx, (coalesce(a, '') <> '' AND coalesce(b, '') <> '' AND coalesce({s_plain('a')} = {s_plain('b')}, false)) AS same FROM j"""
+    f"""WITH {P}, k AS (SELECT id, answer, regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS k FROM p WHERE question IS NOT NULL),
+    f AS (SELECT k, min(id) AS first_id, min_by(coalesce(answer, ''), id) AS b FROM k GROUP BY k)
+    SELECT id, first_id, (coalesce(answer, '') <> '' AND b <> '' AND coalesce({s_plain('answer')} = {s_plain('b')}, false)) AS same FROM k JOIN f USING (k) WHERE id <> first_id"""
 )
 def answers_compared(spark: SparkSession, base: str) -> DataFrame:
-    p = _puzzles(spark, base).select(text.fingerprint("question").alias("k"), "id", F.col("answer").alias("a"))
-    r = _finals(spark, base).select(text.fingerprint("question").alias("k"), "idx", F.col("answer").alias("b"))
-    return p.join(r, "k").select("id", "idx", text.answers_match("a", "b").alias("same"))
+    """Answers of puzzles whose question recurs in another look, against that of the first such puzzle."""
+    key = F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}]+", "")
+    p = _puzzles(spark, base).where("question is not null").select("id", "answer", key.alias("k"))
+    first = p.groupBy("k").agg(F.min("id").alias("first_id"), F.min_by(F.coalesce("answer", F.lit("")), "id").alias("b"))
+    return split_join(p, first, ["k"], "inner").where("id <> first_id").select("id", "first_id", text.answers_match("answer", "b").alias("same"))
 
 
 @query(

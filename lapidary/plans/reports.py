@@ -13,7 +13,7 @@ _OK = "len(coalesce(errors, [])) = 0"
 _TESTS = f"""WITH {T}, g AS (SELECT model AS version, rule_id, stage AS test, bool_and({_OK}) AS ok FROM t WHERE rule_id IS NOT NULL GROUP BY ALL),
     w AS (SELECT version, lag(version) OVER (ORDER BY version) AS parent FROM (SELECT DISTINCT version FROM g)),
     x AS (SELECT g.*, w.parent, b.ok AS before FROM g JOIN w USING (version) LEFT JOIN g b ON b.version = w.parent AND b.rule_id = g.rule_id AND b.test = g.test),
-    r AS (SELECT version, parent, count(*) AS total, count_if(ok) AS passed, count_if(before AND NOT ok) AS regressions, count_if(NOT before AND ok) AS improvements, count_if(NOT before AND NOT ok) AS both_fail FROM x GROUP BY ALL),
+    r AS (SELECT version, parent, count(*) AS total, count_if(ok) AS passed, count(*) FILTER (WHERE before AND NOT ok) AS regressions, count(*) FILTER (WHERE NOT before AND ok) AS improvements, count(*) FILTER (WHERE NOT before AND NOT ok) AS both_fail FROM x GROUP BY ALL),
     u AS (SELECT version, rule_id, count(*) AS total, count_if(ok) AS passed, count_if(ok) / count(*) AS rate FROM g GROUP BY ALL)"""
 
 

@@ -209,7 +209,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before, close, run, found = "^", False, [], _PIECE.findall(text)
             for at, (token, after) in enumerate(found, 1):
                 low = token.lower()
-                ended = 1 if after[:1] and after[0] in TERMINAL and after[:2] != ".." else 0
+                mark = after.lstrip()
+                ended = 1 if mark and mark[0] in TERMINAL and mark[:2] != ".." else 0
                 told = 1 if first and (ended or at < len(found)) else 0
                 pair = f"{before}|{_shape(token)}"
                 add(low, records, ended, told, 0)
@@ -237,7 +238,7 @@ COUNTS = ("n", "ends", "texts", "text_ends", "prose")
 KNOWN, ENDS, RARE = 2, 3, 0.05
 #: A tail is prose if this share of its pairs is known; the weight of the shorter context in the rate of ends; letters of
 #: the alphabet that a new word's next letter is as good as drawn from; lengths around one that are compared with it.
-PROSE, WEIGHT, LETTERS, AROUND = 0.5, 1.0, 12.0, 8
+PROSE, WEIGHT, LETTERS, AROUND = 0.3, 1.0, 12.0, 8
 #: The kinds of evidence.
 TRIE, NGRAMS, LENGTH = "trie", "ngrams", "length"
 ALL = frozenset((TRIE, NGRAMS, LENGTH))

@@ -275,7 +275,7 @@ def pile_ups(values: DataFrame) -> DataFrame:
 def broken_ends(ends: DataFrame, stats: DataFrame, values: DataFrame, rate: float, using: frozenset = ALL) -> DataFrame:
     """(tab, rec_key) of the rows of ``ends`` (tab, rec_key, k1, k2, source, length) that are cut before the mark at their end.
 
-    ``rate`` is the share of prose values that are cut."""
+    ``rate`` is the share of cut values among those that end in prose without a mark and those that end with one."""
     totals = stats.where(~F.col("key").contains("|")).agg(F.sum("n"), F.sum("ends"), F.sum(F.col("texts") * F.length("key")), F.sum("text_ends"), F.sum(F.when((F.col("texts") == 1) & (F.col("text_ends") == 1), 1).otherwise(0))).first()
     n, e, letters, text_ends, new = (float(x or 0) for x in totals)
     overall, novel = (e + 1) / (n + 2), (new + 1) / (text_ends + 2)
@@ -335,11 +335,12 @@ def values_of(puzzles: DataFrame, call_traces: DataFrame) -> DataFrame:
 def cut_tails(judged: DataFrame, values: DataFrame, using: frozenset = ALL) -> DataFrame:
     """(tab, rec_key) of the values that break off in prose. ``judged`` has the columns of JUDGED, of the states ENDED and OPEN_END."""
     stats = corpus_statistics(values)
-    prose = durable(_is_prose(judged.where(F.col("state").isin(ENDED, OPEN_END)), stats))
-    open_ = F.col("state") == OPEN_END
-    many, cut = prose.agg(F.count("*"), F.count(F.when(open_, 1))).first()
-    broken = broken_ends(prose.where(~open_), stats, values, cut / many if many else 0.0, using)
-    return prose.where(open_).select("tab", "rec_key").union(broken)
+    open_prose = durable(_is_prose(judged.where(F.col("state") == OPEN_END), stats).select("tab", "rec_key"))
+    ended = judged.where(F.col("state") == ENDED)
+    cut, whole = open_prose.count(), ended.count()
+    # Only of what looks broken need it be known whether it is prose.
+    broken = durable(broken_ends(ended.drop("pairs"), stats, values, cut / (cut + whole) if cut else 0.0, using))
+    return open_prose.union(_is_prose(ended.join(broken, ["tab", "rec_key"], "left_semi"), stats).select("tab", "rec_key"))
 
 
 def cut_values(values: DataFrame, using: frozenset = ALL) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ def copies_question(question: str, answer: str) -> bool:
 
 _STRUCTURE = re.compile(r"```[a-z]*|</?[a-z_]+>|\[\[|\]\]")
 _GRIDS = re.compile(r"\b[A-Z]\(\d+,\d+\)|[\d+*/=()\[\]{}<>|-]+")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _KEYWORD = re.compile(r"\b[A-Z_]{2,}\b|\b[A-Z][a-z]+\b")
 
 
@@ -79,7 +81,7 @@ def prose(text: str) -> str:
         for line in part.split("\n"):
             # Whole prose ends with a sentence mark (but for Thai) and has several words.
             bare = line.rstrip().rstrip(cuts.CLOSERS)
-            if cuts._THAI.search(line) or bare[-1:] in cuts.TERMINAL and len(cuts._TOKEN.findall(line)) > 3:
+            if cuts._THAI.search(line) or bare[-1:] in cuts.TERMINAL and next(islice(cuts._TOKEN.finditer(line), 3, None), None):
                 kept.append(_GRIDS.sub(" ", line))
     return " ".join(kept)
 
@@ -103,7 +105,7 @@ class Languages:
     @staticmethod
     def grams(text: str) -> np.ndarray:
         # Names and numbers tell no language.
-        text = re.sub(r"[\W\d_]+", " ", _KEYWORD.sub(" ", text)).lower()
+        text = _NO_LETTERS.sub(" ", _KEYWORD.sub(" ", text)).lower()
         c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         if len(c) < 3:
             return np.empty(0, np.int64)
@@ -114,12 +116,13 @@ class Languages:
 
     def posterior(self, text: str) -> np.ndarray:
         """Logarithms of the posterior probabilities of the languages."""
-        z = self.priors + self.logs[self.grams(text)].sum(axis=0, dtype=np.float64)
+        rows = self.logs[self.grams(text)]
+        z = self.priors + (np.ones(len(rows), np.float32) @ rows).astype(np.float64)
         return z - np.logaddexp.reduce(z)
 
 
 def letters(text: str) -> int:
-    return len(_LETTER.findall(text)) + 2 * len(cuts._HAN.findall(text))
+    return sum(map(str.isalpha, text)) + (0 if text.isascii() else 2 * len(cuts._HAN.findall(text)))
 
 
 def other_language(model: Languages, question: str, answer: str) -> bool:

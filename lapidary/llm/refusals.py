@@ -130,19 +130,42 @@ def sentences(value: str) -> list[str]:
     return [s.strip() for s in _SENTENCE.findall(_STRUCTURE.sub("\n", value)) if s.strip()]
 
 
+_UNITS: dict[tuple[str, bool], list[str]] = {}
+_IDS: dict = {}
+_KEPT = 300_000
+
+
+def _units_of(word: str, first: bool) -> list[str]:
+    key = (word, first)
+    units = _UNITS.get(key)
+    if units is None:
+        if len(_UNITS) > _KEPT:
+            _UNITS.clear()
+        if _TIGHT.search(word):
+            units = list(word)
+        else:
+            units = ["N" if word[0].isupper() and not first and len(word) > 1 and "'" not in word else word.lower()]
+        _UNITS[key] = units
+    return units
+
+
+def _id(gram) -> int:
+    i = _IDS.get(gram)
+    if i is None:
+        if len(_IDS) > _KEPT:
+            _IDS.clear()
+        i = _IDS[gram] = xxhash.xxh32_intdigest(gram if isinstance(gram, str) else " ".join(gram)) & _MASK
+    return i
+
+
 def features(sentence: str) -> list[int]:
-    """Hashes of the words and pairs of words of a sentence. Capitalised words after the first are names and don't count."""
+    """Hashes of the words and runs of two and three words of a sentence. Capitalised words after the first are names and don't count."""
     units: list[str] = []
-    first = True
     for m in _WORD.finditer(sentence.replace("’", "'")):
-        w = m.group()
-        if _TIGHT.search(w):
-            units += w
-        else:
-            units.append("N" if w[0].isupper() and not first and len(w) > 1 and "'" not in w else w.lower())
-        first = False
-    grams = units + [f"{a} {b}" for a, b in zip(["^", *units], units)] + [f"{a} {b} {c}" for a, b, c in zip(units, units[1:], units[2:])]
-    return sorted({xxhash.xxh32_intdigest(g) & _MASK for g in grams})
+        units += _units_of(m.group(), not units)
+    if 3 * len(units) - 1 < FEWEST:
+        return []
+    return sorted({*map(_id, units), *map(_id, zip(["^", *units], units)), *map(_id, zip(units, units[1:], units[2:]))})
 
 
 def _fit(positive: list[list[int]], negative: list[list[int]]) -> np.ndarray:

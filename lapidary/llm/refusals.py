@@ -120,7 +120,7 @@ BITS = 16
 _MASK = (1 << BITS) - 1
 ROUNDS, RATE, RIDGE, SURE = 80, 0.1, 2e-4, 0.9
 #: Share of the weight that refusals have in the fit; a sentence refuses beyond this probability.
-SHARE, LEAST = 0.5, 0.5
+SHARE, LEAST = 0.5, 0.35
 #: A sentence of fewer words and pairs tells nothing.
 FEWEST = 6
 

@@ -10,7 +10,7 @@ BUILD_BEAM, BATCH = 32, 2048
 #: Queries that walk side by side; the nodes of four steps at most have numbers below 256.
 CHUNK = 1024
 #: A beam is wide enough when it finds this share of the nodes that an exhaustive search finds for sample queries.
-TARGET_RECALL, SAMPLE = 0.99, 1500
+TARGET_RECALL, SAMPLE = 0.99, 800
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -171,7 +171,7 @@ def hash_of(text: str) -> int:
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     vectors = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, DIMENSIONS)
-    return Segment.built(list(pdf["node"]), vectors, list(pdf["shingles"])).frame(key[0])
+    return Segment.built(list(pdf["node"]), vectors, list(pdf["shingles"])).frame(pdf["shard"].iloc[0])
 
 
 def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -261,15 +261,18 @@ class HistoryIndex:
         """
         value = F.coalesce(F.col(by).cast("string"), F.lit("none")) if by else F.lit("all")
         records = records.withColumn("value", value)
-        sizes = durable(records.groupBy("value").agg(F.ceil(F.count("*") / F.lit(self.segment)).cast("bigint").alias("parts")))
+        sizes = records.groupBy("value").agg(F.ceil(F.count("*") / F.lit(self.segment)).cast("bigint").alias("parts"))
+        # A row for each value; shards are numbered through.
+        sizes = durable(sizes.withColumn("before", F.sum("parts").over(Window.orderBy("value")) - F.col("parts")))
         shards = sizes.agg(F.sum("parts")).first()[0]
         if not shards:
             return
         part = uuid.uuid4().hex
         records.select("h1", "h2").write.parquet(f"{self.folder}/keys/{part}")
-        rows = records.join(sizes, "value").withColumn("shard", F.concat("value", F.lit("/"), F.pmod(F.xxhash64("node"), "parts").cast("string")))
-        rows = with_vectors(rows.select("shard", "node", "shingles"))
-        new = self._written(rows.repartition(_tasks(shards), "shard").groupBy("shard").applyInPandas(_build, SHARDS))
+        part_of = F.pmod(F.xxhash64("node"), "parts")
+        rows = records.join(sizes, "value").withColumn("shard", F.concat("value", F.lit("/"), part_of.cast("string")))
+        rows = with_vectors(_placed(rows.withColumn("slot", F.col("before") + part_of), shards).select("key", "shard", "node", "shingles"))
+        new = self._written(rows.repartition(shards, "key").groupBy("key").applyInPandas(_build, SHARDS))
         old = self.manifest()
         self._commit(new if old is None else old.select("part", "shard", "n").union(new))
         if self.manifest().where(F.col("n") < self.segment / 2).count() > COMPACT_AFTER:
@@ -299,14 +302,17 @@ class HistoryIndex:
         q = with_vectors(queries.select("node", block.alias("block"), "shingles"))
         q = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("number"), "block", F.col("node").alias("query"), "shingles", "vec")
         index = self._live().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        n = _tasks(shards * blocks)
-        pairs = index.repartition(n, "number", "block").groupBy("number", "block").cogroup(q.repartition(n, "number", "block").groupBy("number", "block"))
-        return pairs.applyInPandas(_search(least), "query string, node string")
+        groups, slot = shards * blocks, F.col("number") * blocks + F.col("block")
+        index, q = (_placed(x.withColumn("slot", slot), groups).repartition(groups, "key").groupBy("key") for x in (index, q))
+        return index.cogroup(q).applyInPandas(_search(least), "query string, node string")
 
 
-def _tasks(groups: int) -> int:
-    """Tasks for so many heavy groups: enough that few share one."""
-    return int(min(4 * groups, 20_000))
+def _placed(df: DataFrame, slots: int) -> DataFrame:
+    """``df`` with a column key in place of slot (0 to ``slots`` - 1), by which ``repartition(slots, "key")`` puts every slot into a
+    partition of its own. Slots are few and heavy, so two in one task would cost as much again."""
+    spark = df.sparkSession
+    keys = spark.range(64 * slots).select(F.col("id").alias("key"), F.pmod(F.hash("id"), F.lit(slots)).cast("bigint").alias("slot")).groupBy("slot").agg(F.min("key").alias("key"))
+    return df.withColumn("slot", F.col("slot").cast("bigint")).join(keys, "slot").drop("slot")
 
 
 def _node(*columns: str):

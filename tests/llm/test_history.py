@@ -84,6 +84,12 @@ def test_edges(spark):
     assert {(r.batch_no, r.rec_id) for r in history.rejected_records(df, [known]).collect()} == {(1, "e"), (2, "a"), (2, "b")}
 
 
+def test_every_slot_has_its_own_partition(spark):
+    df = spark.range(400).select(F.col("id"), F.pmod(F.col("id"), F.lit(23)).alias("slot"), F.pmod(F.col("id"), F.lit(23)).alias("s"))
+    placed = history._placed(df, 23).repartition(23, "key").select("s", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(placed) == 23 == len({r.p for r in placed})
+
+
 def test_decided(spark):
     # c is near b and b near a: b is rejected, so c is kept.
     links = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "b"), ("e", "a")], "query string, node string")

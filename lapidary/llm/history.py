@@ -1,49 +1,50 @@
-"""Problem 3: new batches against all history, by navigable small-world graphs per history segment.
+"""Problem 3: new batches against all history, by an index of minhash signatures.
 
-The index lies in a table in a folder and outlives the session: segments of bounded size, each with the shingle sets of
-its records and one graph over random projections of them. A batch is searched against the index, and its kept records
-are appended to it as a shard of their own; no history is read but the index. When there are many small shards they are
-compacted. Every change writes new files and then a new version of the list of shards, itself a table, so a reader or a
-lost executor never meets half a change.
+The index lies in a table in a folder and outlives the session: the shingle set and the signature of every record, in
+shards that are appended. A batch is searched against the index, and its kept records are appended to it as a shard of
+their own; no history is read but the index. When there are many small shards they are compacted. Every change writes new
+files and then a new version of the list of shards, itself a table, so a reader or a lost executor never meets half a
+change.
 
-A search walks the graph with a beam. For every shard and block of queries the beam is widened until it finds what an
-exact search finds for sample queries: all nodes whose sets are similar, counted over an inverted list of the shard. What
-the beam holds is reranked by the exact similarity of the sets. A query whose beam is crowded with similar nodes up to its
-worst places, and every query of a shard that no beam serves well enough, is searched exactly over the inverted lists, so
-no beam is a cap.
+A search brings queries and indexed records together that agree in a band of their signatures (see ``signatures``), a round
+of bands at a time, so that what is shuffled at once stays within ``ROUND`` postings, and grows with queries plus records, not
+with their product. What meets is decided by the exact similarity of the sets; sets are fetched only for what met. Nothing
+bounds how many candidates a query has.
 
 A record is rejected if its set, or one similar to it, stands in the history or in an earlier record that was kept.
 Only the first record of a set can be kept. The rest is decided over the links between the remaining records: a record
 without an earlier similar one is kept, those similar to a kept one are rejected, and so on until all are decided.
-The records kept are then searched against each other once more; links that come out so are added to all links, and all
-records decided anew, until no new link is found.
+The records kept are then searched against each other once more, by other signatures; links that come out so are added to all
+links, and all records decided anew, until no new link is found.
 
 Null questions and those with fewer than three words are similar to nothing and never rejected. Repeated deliveries
 count once.
+
+``Segment`` searches sets in the memory of one process, exactly or by a graph; no query uses it, tests compare with it.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapidary.llm import sketches
+from lapidary.llm import signatures, sketches
 from lapidary.llm.graph import SAMPLE, Graph
 from lapidary.llm.words import mix
 from lapidary.session import checkpoint_folder, durable
 
 THRESHOLD = 0.6
 DIMENSIONS = 32
-#: Nodes of a history segment, queries that one task searches, and shards below half a segment after which they are compacted.
-SEGMENT, QUERIES, COMPACT_AFTER = 50_000, 12_500, 16
+#: Records of a compacted shard, and shards below half of that after which they are compacted.
+SEGMENT, COMPACT_AFTER = 50_000, 16
+#: Postings of a round of bands, of a task of it, and records that a bucket of a band is meant for.
+ROUND, TASK, BUCKET = 32_000_000, 500_000, 500_000
 
-SHARDS = "shard string, n bigint, ids array<string>, vectors binary, links binary, members binary, ends binary"
+SHARDS = "shard string, h1 bigint, h2 bigint, shingles array<int>, signature binary"
 
 
 def vector(shingles: np.ndarray) -> np.ndarray:
@@ -55,21 +56,6 @@ def vector(shingles: np.ndarray) -> np.ndarray:
     return (v / n if n else np.eye(1, DIMENSIONS, dtype=np.float32)[0]).astype(np.float32)
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("shingles")
-        lists = batch.column(at)
-        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        out = pa.array([vector(flat[a:b]).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "vec"])
-
-
-def with_vectors(df: DataFrame) -> DataFrame:
-    """``df`` with the column vec."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(_vectors, f"{fields}, vec binary")
-
-
 class Segment:
     """The nodes of a shard: names, vectors, graph and sets."""
 
@@ -86,18 +72,6 @@ class Segment:
         members = np.concatenate([np.asarray(sets[k], np.int32) for k in order]) if len(order) else np.empty(0, np.int32)
         return cls([ids[k] for k in order], vectors[order], members, ends)
 
-    @classmethod
-    def read(cls, row) -> Segment:
-        vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, DIMENSIONS)
-        return cls(row["ids"], vectors, np.frombuffer(row["members"], np.int32), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["links"], np.int32))
-
-    def frame(self, shard: str) -> pd.DataFrame:
-        g = self.graph
-        return pd.DataFrame({"shard": [shard], "n": [len(self.ids)], "ids": [list(self.ids)], "vectors": [g.vectors.tobytes()], "links": [g.links.tobytes()], "members": [self.members.tobytes()], "ends": [self.ends.tobytes()]})
-
-    def sets(self) -> list[np.ndarray]:
-        return [self.members[a:b] for a, b in zip(self.ends, self.ends[1:])]
-
     def lists(self):
         """The inverted lists: distinct members, where the list of each begins, the nodes, and each member's number."""
         if self._lists is None:
@@ -169,44 +143,30 @@ def hash_of(text: str) -> int:
     return xxhash.xxh32_intdigest(text)
 
 
-def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, DIMENSIONS)
-    return Segment.built(list(pdf["node"]), vectors, list(pdf["shingles"])).frame(pdf["shard"].iloc[0])
-
-
-def _merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    parts = [Segment.read(row) for _, row in pdf.iterrows()]
-    vectors = np.concatenate([p.graph.vectors for p in parts])
-    return Segment.built([i for p in parts for i in p.ids], vectors, [s for p in parts for s in p.sets()]).frame(key[0])
-
-
-def _search(least: float):
-    def run(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": pd.Series([], dtype=object), "node": pd.Series([], dtype=object)})
-        if not len(index) or not len(queries):
-            return empty
-        segment = Segment.read(index.iloc[0])
-        queries = queries.sort_values("query")
-        vectors = np.frombuffer(b"".join(queries["vec"]), np.float32).reshape(-1, DIMENSIONS)
-        found = segment.search(vectors, [np.asarray(s, np.int32) for s in queries["shingles"]], least)
-        out_q = np.repeat(queries["query"].to_numpy(), [len(f) for f in found])
-        out_n = [segment.ids[k] for f in found for k in f]
-        return pd.DataFrame({"query": out_q, "node": out_n}) if out_n else empty
-
-    return run
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files go as soon as the action that wrote them is over, for frames made within."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class HistoryIndex:
-    """The index in ``folder``, at its latest version. Records have node (string), h1, h2, shingles."""
+    """The index in ``folder``, at its latest version. Records have node (h1 and h2 as by ``_node``), h1, h2, shingles. Its signatures
+    are drawn by ``seed``, which must stay the same for a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, segment: int = SEGMENT):
-        self.spark, self.folder, self.segment = spark, folder.rstrip("/"), segment
+    def __init__(self, spark: SparkSession, folder: str, segment: int = SEGMENT, seed: int = 0):
+        self.spark, self.folder, self.segment, self.seed = spark, folder.rstrip("/"), segment, seed
         self.version = max(self._versions(), default=-1)
 
     @classmethod
-    def temporary(cls, spark: SparkSession, segment: int = SEGMENT) -> HistoryIndex:
+    def temporary(cls, spark: SparkSession, segment: int = SEGMENT, seed: int = 0) -> HistoryIndex:
         """A new index in the shared folder of the session."""
-        return cls(spark, f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", segment)
+        return cls(spark, f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", segment, seed)
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -224,87 +184,77 @@ class HistoryIndex:
         fs.delete(path, True)
 
     def manifest(self) -> DataFrame | None:
-        """(part, shard, n, number): the shards of this version, numbered from 0; None for an empty index."""
-        return None if self.version < 0 else self.spark.read.schema("part string, shard string, n bigint, number int").parquet(f"{self.folder}/versions/{self.version}")
-
-    def _parts(self, what: str, schema: str) -> DataFrame | None:
-        manifest = self.manifest()
-        if manifest is None:
-            return None
-        # One name for each append since the last compaction, and for each that was too large for it.
-        parts = sorted(r.part for r in manifest.select("part").distinct().collect())
-        if what == "keys":
-            # Keys aren't merged; all that were ever written count.
-            fs, path = self._fs(f"{self.folder}/keys")
-            parts = sorted(s.getPath().getName() for s in fs.listStatus(path))
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{what}/{p}" for p in parts]) if parts else None
+        """(part, shard, n): the shards of this version; None for an empty index."""
+        return None if self.version < 0 else self.spark.read.schema("part string, shard string, n bigint").parquet(f"{self.folder}/versions/{self.version}")
 
     def keys(self) -> DataFrame | None:
         """(h1, h2) of all sets."""
-        return self._parts("keys", "h1 bigint, h2 bigint")
+        return None if self.version < 0 else self._live().select("h1", "h2")
 
     def _commit(self, manifest: DataFrame) -> None:
-        order = Window.orderBy("part", "shard")  # one row for each segment of the history
-        rows = durable(manifest.select("part", "shard", "n", (F.row_number().over(order) - 1).alias("number")))
-        rows.coalesce(1).write.parquet(f"{self.folder}/versions/{self.version + 1}")
+        durable(manifest.select("part", "shard", "n")).coalesce(1).write.parquet(f"{self.folder}/versions/{self.version + 1}")
         self.version += 1
 
-    def _written(self, shards: DataFrame) -> DataFrame:
+    def _written(self, rows: DataFrame) -> DataFrame:
+        """The manifest of a new part with ``rows``, whose column shard names their shards."""
         part = uuid.uuid4().hex
-        shards.write.parquet(f"{self.folder}/shards/{part}")
-        return self.spark.read.parquet(f"{self.folder}/shards/{part}").select(F.lit(part).alias("part"), "shard", "n")
+        rows.write.parquet(f"{self.folder}/shards/{part}")
+        sizes = self.spark.read.schema(SHARDS).parquet(f"{self.folder}/shards/{part}").groupBy("shard").agg(F.count("*").alias("n"))
+        return durable(sizes.select(F.lit(part).alias("part"), "shard", "n"))
 
     def append(self, records: DataFrame, by: str | None = None) -> None:
-        """Index ``records`` as one shard, or one for each value of ``by``; more than a segment becomes several shards.
-
-        All graphs are built in one job, side by side.
-        """
-        value = F.coalesce(F.col(by).cast("string"), F.lit("none")) if by else F.lit("all")
-        records = records.withColumn("value", value)
-        sizes = records.groupBy("value").agg(F.ceil(F.count("*") / F.lit(self.segment)).cast("bigint").alias("parts"))
-        # A row for each value; shards are numbered through.
-        sizes = durable(sizes.withColumn("before", F.sum("parts").over(Window.orderBy("value")) - F.col("parts")))
-        shards = sizes.agg(F.sum("parts")).first()[0]
-        if not shards:
-            return
-        part = uuid.uuid4().hex
-        records.select("h1", "h2").write.parquet(f"{self.folder}/keys/{part}")
-        part_of = F.pmod(F.xxhash64("node"), "parts")
-        rows = records.join(sizes, "value").withColumn("shard", F.concat("value", F.lit("/"), part_of.cast("string")))
-        rows = with_vectors(_placed(rows.withColumn("slot", F.col("before") + part_of), shards).select("key", "shard", "node", "shingles"))
-        new = self._written(rows.repartition(shards, "key").groupBy("key").applyInPandas(_build, SHARDS))
-        old = self.manifest()
-        self._commit(new if old is None else old.select("part", "shard", "n").union(new))
-        if self.manifest().where(F.col("n") < self.segment / 2).count() > COMPACT_AFTER:
-            self.compact()
+        """Index ``records`` as one shard, or one for each value of ``by``."""
+        with tidy(self.spark):
+            value = F.coalesce(F.col(by).cast("string"), F.lit("none")) if by else F.lit("all")
+            new = self._written(signatures.signed(records.select(value.alias("shard"), "h1", "h2", "shingles"), self.seed))
+            if new.isEmpty():
+                return
+            old = self.manifest()
+            self._commit(new if old is None else old.union(new))
+            if self.manifest().where(F.col("n") < self.segment / 2).count() > COMPACT_AFTER:
+                self.compact()
 
     def _live(self) -> DataFrame:
-        """The shards of this version with their numbers."""
-        rows = self._parts("shards", SHARDS).withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -2))
-        return rows.join(self.manifest().select("part", "shard", "number"), ["part", "shard"])
+        """The records of this version with part and shard."""
+        manifest = self.manifest().select("part", "shard")
+        # One name for each append since the last compaction, and for each that was too large for it.
+        parts = sorted(r.part for r in manifest.select("part").distinct().collect())
+        rows = self.spark.read.schema(SHARDS).parquet(*[f"{self.folder}/shards/{p}" for p in parts])
+        return rows.withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -2)).join(F.broadcast(manifest), ["part", "shard"], "left_semi")
 
     def compact(self) -> None:
-        """Merge small shards into segments; large ones stay as they are."""
-        manifest = durable(self.manifest())
-        small = manifest.where(F.col("n") < self.segment / 2)
-        so_far = F.sum("n").over(Window.orderBy("part", "shard"))  # a row for each small shard
-        target = small.select("number", F.concat(F.lit("compacted/"), F.floor((so_far - 1) / F.lit(self.segment)).cast("string")).alias("target"))
-        rows = self._live().drop("shard").join(target, "number").select(F.col("target").alias("shard"), *[c.split()[0] for c in SHARDS.split(", ")[1:]])
-        merged = self._written(rows.groupBy("shard").applyInPandas(_merge, SHARDS))
-        self._commit(manifest.where(F.col("n") >= self.segment / 2).select("part", "shard", "n").union(merged))
+        """Merge small shards; large ones stay as they are."""
+        with tidy(self.spark):
+            manifest = durable(self.manifest())
+            small = manifest.where(F.col("n") < self.segment / 2)
+            so_far = F.sum("n").over(Window.orderBy("part", "shard"))  # a row for each small shard
+            target = small.select("part", "shard", F.concat(F.lit("compacted/"), F.floor((so_far - 1) / F.lit(self.segment)).cast("string")).alias("target"))
+            rows = self._live().join(F.broadcast(target), ["part", "shard"]).select(F.col("target").alias("shard"), *[c.split()[0] for c in SHARDS.split(", ")[1:]])
+            merged = self._written(rows.repartition("shard"))
+            self._commit(manifest.where(F.col("n") >= self.segment / 2).union(merged))
 
     def search(self, queries: DataFrame, least: float = THRESHOLD) -> DataFrame:
         """(query, node): the indexed records whose sets are similar to those of the queries (node, shingles)."""
-        manifest = self.manifest()
-        shards, many = manifest.count(), queries.count()
-        blocks = -(-many // QUERIES) or 1
-        block = F.pmod(F.xxhash64("node"), F.lit(blocks))
-        q = with_vectors(queries.select("node", block.alias("block"), "shingles"))
-        q = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("number"), "block", F.col("node").alias("query"), "shingles", "vec")
-        index = self._live().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        groups, slot = shards * blocks, F.col("number") * blocks + F.col("block")
-        index, q = (_placed(x.withColumn("slot", slot), groups).repartition(groups, "key").groupBy("key") for x in (index, q))
-        return index.cogroup(q).applyInPandas(_search(least), "query string, node string")
+        with tidy(self.spark):
+            own = queries.select(F.xxhash64("node").alias("id"), F.col("node").alias("query"), "shingles")
+            signed = durable(signatures.signed(own.select("id", "shingles"), self.seed).select("id", "signature"))
+            index = self._live().select(F.xxhash64(_node("h1", "h2")).alias("id"), _node("h1", "h2").alias("node"), F.col("shingles").alias("of_node"), "signature")
+            many = signed.count() + self.manifest().agg(F.sum("n")).first()[0]
+            splits, rounds = -(-many // BUCKET), min(signatures.BANDS, -(-many * signatures.BANDS // ROUND))
+            rows = []
+            for r in range(rounds):
+                bands = range(r, signatures.BANDS, rounds)
+                postings = signatures.posted(signed, True, bands, splits, self.seed).union(signatures.posted(index, False, bands, splits, self.seed))
+                slots = -(-many * len(bands) // TASK)
+                placed = _placed(postings.withColumn("slot", F.pmod("bucket", F.lit(slots))), slots).repartition(slots, "key")
+                rows.append(durable(signatures.met(placed, splits).distinct()))
+            pairs = rows[0]
+            for more in rows[1:]:
+                pairs = pairs.union(more)
+            pairs = durable(pairs.distinct())
+            met = signatures.hinted(index.drop("signature"), "id", pairs.select("node_id").distinct())
+            both = pairs.join(own.withColumnRenamed("id", "query_id"), "query_id").join(met.withColumnRenamed("id", "node_id"), "node_id")
+            return both.where(sketches.similarity("shingles", "of_node") >= least - 1e-9).select("query", "node")
 
 
 def _placed(df: DataFrame, slots: int) -> DataFrame:
@@ -312,7 +262,7 @@ def _placed(df: DataFrame, slots: int) -> DataFrame:
     partition of its own. Slots are few and heavy, so two in one task would cost as much again."""
     spark = df.sparkSession
     keys = spark.range(64 * slots).select(F.col("id").alias("key"), F.pmod(F.hash("id"), F.lit(slots)).cast("bigint").alias("slot")).groupBy("slot").agg(F.min("key").alias("key"))
-    return df.withColumn("slot", F.col("slot").cast("bigint")).join(keys, "slot").drop("slot")
+    return df.withColumn("slot", F.col("slot").cast("bigint")).join(F.broadcast(keys), "slot").drop("slot")
 
 
 def _node(*columns: str):
@@ -353,50 +303,55 @@ def settled(links: DataFrame, again) -> DataFrame:
 def screened(index: HistoryIndex, batches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(batch_no, rec_id) of the rejected records of ``batches`` (batch_no, rec_id, question); the others are appended to
     ``index``, a shard for each batch."""
-    rows = batches.select("batch_no", "rec_id", "question").distinct()
-    own = durable(sketches.with_sets(rows, ["batch_no", "rec_id"], F.col("question")))
-    first = own.groupBy("h1", "h2").agg(F.min(F.struct("batch_no", "rec_id")).alias("first"), F.any_value("shingles").alias("shingles"))
-    first = first.select("first.batch_no", "first.rec_id", "h1", "h2", "shingles").withColumn("node", _node("h1", "h2"))
-    remaining = first
-    if (keys := index.keys()) is not None:
-        first = durable(first.join(keys, ["h1", "h2"], "left_anti"))
-        known = index.search(first, threshold).select(F.col("query").alias("node")).distinct()
-        remaining = first.join(known, "node", "left_anti")
-    remaining = durable(remaining)
-    kept = remaining.select("node")
-    order = remaining.select("node", F.struct("batch_no", "rec_id").alias("at"))
-
-    def links(among: DataFrame) -> DataFrame:
-        """The similar records of ``among``, (query, node: the earlier one)."""
-        small = HistoryIndex.temporary(index.spark, index.segment)
-        small.append(among)
-        if small.version < 0:
-            return order.limit(0).select(F.col("node").alias("query"), "node")
-        pairs = small.search(among, threshold).where("query <> node")
-        placed = pairs.join(order.withColumnsRenamed({"node": "query", "at": "of_query"}), "query").join(order.withColumnRenamed("at", "of_node"), "node")
-        later = F.col("of_query") > F.col("of_node")
-        out = durable(placed.select(F.when(later, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(later, F.col("node")).otherwise(F.col("query")).alias("node")).distinct())
-        small.drop()
-        return out
-
-    rejected = settled(links(remaining), lambda gone: links(durable(remaining.join(gone, "node", "left_anti"))))
-    kept = durable(remaining.join(rejected, "node", "left_anti"))
-    index.append(kept, "batch_no")
-    return own.select("batch_no", "rec_id").join(kept.select("batch_no", "rec_id"), ["batch_no", "rec_id"], "left_anti").distinct()
+    with tidy(index.spark):
+        rows = batches.select("batch_no", "rec_id", "question").distinct()
+        own = durable(sketches.with_sets(rows, ["batch_no", "rec_id"], F.col("question")))
+        first = own.groupBy("h1", "h2").agg(F.min(F.struct("batch_no", "rec_id")).alias("first"), F.any_value("shingles").alias("shingles"))
+        first = first.select("first.batch_no", "first.rec_id", "h1", "h2", "shingles").withColumn("node", _node("h1", "h2"))
+        if (keys := index.keys()) is not None:
+            first = durable(first.join(keys, ["h1", "h2"], "left_anti"))
+            known = durable(index.search(first, threshold).select(F.col("query").alias("node")).distinct())
+            remaining = first.join(known, "node", "left_anti")
+        else:
+            remaining = first = durable(first)
+        order = remaining.select("node", F.struct("batch_no", "rec_id").alias("at"))
+        seeds = iter(range(1, 1 << 20))
+
+        def links(among: DataFrame) -> DataFrame:
+            """The similar records of ``among``, (query, node: the earlier one)."""
+            small = HistoryIndex.temporary(index.spark, index.segment, next(seeds))
+            small.append(among)
+            if small.version < 0:
+                return order.limit(0).select(F.col("node").alias("query"), "node")
+            pairs = small.search(among, threshold).where("query <> node")
+            placed = pairs.join(order.withColumnsRenamed({"node": "query", "at": "of_query"}), "query").join(order.withColumnRenamed("at", "of_node"), "node")
+            later = F.col("of_query") > F.col("of_node")
+            out = durable(placed.select(F.when(later, F.col("query")).otherwise(F.col("node")).alias("query"), F.when(later, F.col("node")).otherwise(F.col("query")).alias("node")).distinct())
+            small.drop()
+            return out
+
+        rejected = durable(settled(links(remaining), lambda gone: links(remaining.join(gone, "node", "left_anti"))))
+        kept = remaining.join(rejected, "node", "left_anti")
+        index.append(kept, "batch_no")
+        return own.select("batch_no", "rec_id").join(kept.select("batch_no", "rec_id"), ["batch_no", "rec_id"], "left_anti").distinct()
 
 
 def history_index(spark: SparkSession, history: list[DataFrame], folder: str | None = None, segment: int = SEGMENT) -> HistoryIndex:
     """A new index over the history frames, each with question."""
-    index = HistoryIndex(spark, folder, segment) if folder else HistoryIndex.temporary(spark, segment)
-    past = None
-    for h in history:
-        s = sketches.with_sets(h.select("question"), [], F.col("question"))
-        past = s if past is None else past.union(s)
-    past = past.groupBy("h1", "h2").agg(F.any_value("shingles").alias("shingles"))
-    index.append(durable(past.withColumn("node", _node("h1", "h2"))))
-    return index
+    with tidy(spark):
+        index = HistoryIndex(spark, folder, segment) if folder else HistoryIndex.temporary(spark, segment)
+        past = None
+        for h in history:
+            s = sketches.with_sets(h.select("question"), [], F.col("question"))
+            past = s if past is None else past.union(s)
+        past = past.groupBy("h1", "h2").agg(F.any_value("shingles").alias("shingles"))
+        index.append(past)
+        return index
 
 
 def rejected_records(batches: DataFrame, history: list[DataFrame], threshold: float = THRESHOLD, segment: int = SEGMENT) -> DataFrame:
     """(batch_no, rec_id) of the rejected records, against a new index over the history frames."""
-    return screened(history_index(batches.sparkSession, history, None, segment), batches, threshold)
+    index = history_index(batches.sparkSession, history, None, segment)
+    rejected = screened(index, batches, threshold)
+    index.drop()
+    return rejected

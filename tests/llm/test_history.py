@@ -179,3 +179,52 @@ def test_recall_of_every_hundredth(spark, data):
     counts = {r["query"]: r["count"] for r in index.search(df).groupBy("query").count().collect()}
     assert sum(min(counts.get(i, 0), n) for i, n in true) >= 0.95 * sum(n for _, n in true)
     assert all(counts.get(i, 0) <= n for i, n in true)
+
+
+def test_a_search_does_not_grow_with_the_shards(spark):
+    """Every query was sent to every shard, and every shard to every block of queries: 20 shards took twenty times the disk."""
+    rng = np.random.RandomState(5)
+    rows = [(f"{i}:{i}", i, i, i % 20, [int(x) for x in np.unique(rng.randint(0, 1 << 30, 60))]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "node string, h1 bigint, h2 bigint, batch_no int, shingles array<int>").cache()
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    written = lambda: sum(e.totalShuffleWrite() for e in map(store.executorList(True).apply, range(store.executorList(True).size())))
+    store, took = spark.sparkContext._jsc.sc().statusStore(), []
+    for by in (None, "batch_no"):
+        index = history.HistoryIndex.temporary(spark, segment=100 if by else 100_000)
+        index.append(df, by)
+        assert index.manifest().count() == (20 if by else 1)
+        before = written()
+        got = index.search(df.select("node", "shingles"))
+        assert {(r.query, r.node) for r in got.collect()} == {(r[0], r[0]) for r in rows}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        took.append(written() - before)
+        index.drop()
+    df.unpersist()
+    assert 0 < took[1] < 1.5 * took[0]
+    # What the actions shuffled doesn't stay.
+    files = env.blockManager().diskBlockManager().getAllFiles()
+    kept = {files.apply(i).getName() for i in range(files.size())}
+    history.rejected_records(spark.createDataFrame([(1, "a", "w1 w2 w3 w4 w5"), (1, "b", "w1 w2 w3 w4 w5 w6")], "batch_no int, rec_id string, question string"), [spark.createDataFrame([("v1 v2 v3 v4",)], "question string")]).collect()
+    files = env.blockManager().diskBlockManager().getAllFiles()
+    assert not [n for n in {files.apply(i).getName() for i in range(files.size())} - kept if n.startswith("shuffle_")]
+
+
+def test_signatures_find_similar_sets():
+    # Pairs of similarity 0.6, 0.7 and 0.9: most meet in a band and pass the check, and hardly any others do.
+    rng = np.random.RandomState(9)
+    signatures = history.signatures
+    for share, least in ((0.6, 0.97), (0.7, 0.995), (0.9, 1.0)):
+        own, other = [], []
+        for _ in range(2000):
+            x = rng.randint(0, 1 << 30, 100).astype(np.int32)
+            both, rest = int(100 * share), 100 - int(100 * share)
+            own.append(np.unique(x[: both + rest // 2]))
+            other.append(np.unique(np.r_[x[:both], x[both + rest // 2 :]]))
+        a, b = (signatures.signatures(np.concatenate(s), np.cumsum([0, *map(len, s)])) for s in (own, other))
+        met = np.zeros(2000, bool)
+        for band in range(signatures.BANDS):
+            ha, hb = signatures.band_hashes(a, band), signatures.band_hashes(b, band)
+            met |= ha == hb
+            assert (ha == np.roll(hb, 1)).mean() < 0.001
+        met &= (a[:, : signatures.CHECKED] == b[:, : signatures.CHECKED]).sum(axis=1) >= signatures.LEAST
+        assert met.mean() >= least
